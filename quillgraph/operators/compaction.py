@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ from ..scratch import Table, delete, new_path
 
 #: Content bytes of an output file; groups that the driver schedules; buckets a group.
 TARGET_BYTES, MAX_GROUPS, BUCKETS = 96 << 20, 1024, 64
+#: Files without an id get one from here on.
+NAMELESS = 1 << 62
 
 #: What writers, editors and copies put before or behind a chunk's name (fixed values).
 STRAY_FOLDERS = r"^(?:\./|/|(?:_staging|_?lost\+found|retry-\d+|\.trash|tmp)/)+"
@@ -81,7 +84,7 @@ def on_screen(body: Column) -> Column:
     b = F.regexp_replace(b, r"[\u200B-\u200D\u2060\uFEFF\u00AD]", "")
     b = F.regexp_replace(b, r"[\u00A0\u2007\u202F]", " ")
     b = F.regexp_replace(F.regexp_replace(b, r"[ \t\r\f\u000B]+\n", "\n"), r"\r", "\n")
-    return F.regexp_replace(F.regexp_replace(b, r"^(?:[ \t]*\n)+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(b, r"^[ \t\n]*\n", ""), r"\s+$", "")
 
 
 def identify(files: DataFrame) -> DataFrame:
@@ -109,7 +112,7 @@ def _schedule(sizes: list[tuple[int, int]], groups: int) -> dict[int, int]:
 
 
 def _writer(out: str, files_of: dict[int, int]):
-    """Streams the records of a group (sorted by group, longest first) to its files."""
+    """Streams the records of a group (sorted by group, longest first) to its files; repeated rows lie together and count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -151,9 +154,15 @@ def _writer(out: str, files_of: dict[int, int]):
             if f["held"] >= 16 << 20:
                 f["flush"]()
 
-        done = []
+        done, last = [], None
         for b in batches:
             t = pa.Table.from_batches([b])
+            ids = t["file_id"].to_numpy()
+            if len(ids):
+                new = np.r_[ids[0] != last, ids[1:] != ids[:-1]]
+                last = ids[-1]
+                if not new.all():
+                    t = t.filter(pa.array(new))
             gs = t["grp"].to_numpy()
             cuts = [0, *((gs[1:] != gs[:-1]).nonzero()[0] + 1).tolist(), len(gs)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -202,37 +211,43 @@ def compact(files: DataFrame, out: str | None = None, *, target_bytes: int = TAR
     ``files``: (file_id, path, content), extra columns are not read. A record is a chunk and a body
     as it reads on a screen; of the files that hold it the one of smallest ``file_id`` gives the
     content. Files without a body (null, empty, blank or nothing behind the front matter) hold no
-    record. An empty table makes an empty manifest. ``out``: a new folder, by default in the shared
+    record. Exact repeats of a row count once, files with a null id too; other rows must not share an
+    id. An empty table makes an empty manifest. ``out``: a new folder, by default in the shared
     folder. The folder holds ``manifest.json`` only if all records are there; without it readers
     must take the folder for unfinished.
     """
     spark = files.sparkSession
     out = out or new_path(spark, "compact")
+    named = files.select("file_id", "path", "content").where(F.col("file_id").isNotNull())
+    nameless = files.select("path", "content").where(F.col("file_id").isNull()).distinct()
+    own = F.pmod(F.xxhash64("path", "content"), F.lit(NAMELESS >> 1)) + NAMELESS  # larger than real ids
+    files = named.unionByName(nameless.select(own.alias("file_id"), "path", "content"))
     known = Table(identify(files), "files").df
     kept = Table(known.groupBy("chunk_hash", "body_hash").agg(F.min("file_id").alias("file_id")).select("file_id"), "kept").df
-    repeats = known.select("file_id").join(kept, "file_id", "left_anti")
+    repeats = known.select("file_id").where(F.col("file_id") < NAMELESS).join(kept, "file_id", "left_anti").distinct()
 
-    # the schedule needs sizes only
-    size = F.octet_length("content")
-    total = files.select("file_id", size.alias("size")).join(kept, "file_id", "left_semi").agg(F.sum("size")).first()[0] or 0
+    # the schedule needs sizes only; a bucket is a part of the ids, so that repeated rows share it
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    sized = Table(files.select("file_id", size.alias("size")).join(kept, "file_id", "left_semi").distinct(), "sizes").df
+    total = sized.agg(F.sum("size")).first()[0] or 0
     groups = max(1, min(MAX_GROUPS, ceil(total / target_bytes)))
-    bucket = F.pmod(F.xxhash64("file_id"), F.lit(groups * BUCKETS)).cast("int")
-    records = files.select("file_id", chunk_path(F.col("path"), F.col("content")).alias("path"), "content", size.alias("size"), bucket.alias("bucket"))
-    records = records.join(kept, "file_id", "left_semi")
-    sizes = [(r.bucket, r.size) for r in files.select("file_id", size.alias("size"), bucket.alias("bucket")).join(kept, "file_id", "left_semi").groupBy("bucket").agg(F.sum("size").alias("size")).collect()]
+    bucket = F.pmod(F.xxhash64("file_id"), F.lit(groups * BUCKETS)).cast("int").alias("bucket")
+    sizes = [(r.bucket, r.size) for r in sized.groupBy(bucket).agg(F.sum("size").alias("size")).collect()]
     to = _schedule(sizes, groups)
     load: dict[int, int] = {}
     for b, s in sizes:
         load[to[b]] = load.get(to[b], 0) + s
     files_of = {g: max(1, ceil(n / target_bytes - 0.25)) for g, n in load.items()}
     plan = F.broadcast(spark.createDataFrame(list(to.items()), "bucket int, grp int"))
-    staged = records.join(plan, "bucket").repartition(groups, "grp").sortWithinPartitions("grp", F.desc("size"), "file_id")
+    records = files.select("file_id", chunk_path(F.col("path"), F.col("content")).alias("path"), "content", size.alias("size"), bucket).join(kept, "file_id", "left_semi")
+    staged = records.join(plan, "bucket").repartitionById(groups, "grp").sortWithinPartitions("grp", F.desc("size"), "file_id")
     staging = f"{out}/data"
     made = Table(staged.select("grp", "size", "path", "content", "file_id").mapInArrow(_writer(staging, files_of), "file string, records long, content_bytes long"), "made").df
 
     # verify: a lost attempt may have left files that no row of ``made`` names
     names = [r.file for r in made.select("file").collect()]
-    expected = _checksum(records)
+    once = records.select("file_id", "size", F.xxhash64("path", "content").alias("sum")).distinct()
+    expected = tuple(once.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bit_xor("sum"), F.lit(0))).first())
     if names:
         found = _checksum(spark.read.schema("path string, content string, file_id long").parquet(*(f"{staging}/{n}" for n in names)))
         if tuple(found) != tuple(expected):

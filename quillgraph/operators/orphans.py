@@ -28,25 +28,24 @@ MATCHES = ("simple", "partial", "full")
 
 def _hot(refs: DataFrame, keys: Sequence[str]) -> list[int]:
     """Hashes of the keys with most references; at most HOT_KEYS."""
-    h = F.xxhash64(*keys).alias("_h")
-    counts = refs.groupBy(h).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT_ROWS)
-    return [r["_h"] for r in counts.orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).collect()]
+    counts = refs.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
+    return [r.h for r in counts.orderBy(F.desc("n"), "h").limit(HOT_KEYS).collect()]
 
 
 def _match(refs: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """References with _n, _live and _first of the records that agree on the keys (null: none)."""
+    """References with n, live and first of the records that agree on the keys (null: none)."""
     per_key = records.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_died").isNull()).alias("_live"), F.min("_born").alias("_first")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("died").isNull()).alias("live"), F.min("born").alias("first")
     )
     hot = _hot(refs, keys)
     if not hot:
         return refs.join(per_key, list(keys), "left")
     is_hot = F.xxhash64(*keys).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = refs.withColumn("_salt", salt.cast("int"))
-    right = per_key.withColumn("_salt", F.explode(salts))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    left = refs.withColumn("salt", salt.cast("int"))
+    right = per_key.withColumn("salt", F.explode(salts))
+    return left.join(right, [*keys, "salt"], "left")
 
 
 def find_orphans(
@@ -68,32 +67,31 @@ def find_orphans(
     the first of them came after the reference; 'partial' for a partly null key under ``full``.
     ``nullable`` names the key columns that may hold nulls (default all); the others are not masked.
     Empty tables: no references give no rows, no records make every reference missing. Repeated
-    references each come out. Other columns of refs stay; those of records never clash, as only
-    the keys, ``born`` and ``died`` are read from it.
+    references each come out. Other columns of refs stay, whatever their names, but for one named
+    ``reason``, which is replaced; of records only the keys, ``born`` and ``died`` are read.
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {MATCHES}")
     stamp = lambda name: (F.col(name) if name else F.lit(None)).cast("timestamp")
-    records = records.select(*keys, stamp(born).alias("_born"), stamp(died).alias("_died"))
-    masked = list(keys if nullable is None else nullable)
-    reason = (
-        F.when(F.col("_n").isNull(), "missing")
-        .when(F.col("_live") == 0, "deleted")
-        .when(F.col("_first") > stamp(at), "late")
-    )
-    parts = []
+    kept = [c for c in refs.columns if c != "reason"]
+    names = {k: f"k{i}" for i, k in enumerate(keys)}
+    renamed = [F.col(k).alias(n) for k, n in names.items()]
+    records = records.select(*renamed, stamp(born).alias("born"), stamp(died).alias("died"))
+    refs = refs.select(F.struct(*kept).alias("row"), *renamed, stamp(at).alias("at"))
+    masked = [names[k] for k in (keys if nullable is None else nullable)]
+    reason = F.when(F.col("n").isNull(), "missing").when(F.col("live") == 0, "deleted").when(F.col("first") > F.col("at"), "late")
+    parts = [refs.select("row", F.lit("").alias("reason")).where(F.lit(False))]
     for nulls in product((False, True), repeat=len(masked)):
         of = dict(zip(masked, nulls))
-        there = [k for k in keys if not of.get(k)]
+        there = [k for k in names.values() if not of.get(k)]
         group = refs
         for k, null in of.items():
             group = group.where(F.col(k).isNull() if null else F.col(k).isNotNull())
         if not any(nulls) or (match == "partial" and there):
-            found = _match(group, records, there).withColumn("reason", reason).where(F.col("reason").isNotNull())
-            parts.append(found.select(*refs.columns, "reason"))
+            parts.append(_match(group, records, there).select("row", reason.alias("reason")).where(F.col("reason").isNotNull()))
         elif match == "full" and there:
-            parts.append(group.select(*refs.columns, F.lit("partial").alias("reason")))
-    return reduce(DataFrame.unionByName, parts)
+            parts.append(group.select("row", F.lit("partial").alias("reason")))
+    return reduce(DataFrame.unionByName, parts).select("row.*", "reason")
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
