@@ -228,10 +228,10 @@ def nearest(vectors: DataFrame, dims: int, k: int = 10, *, min_cosine: float | N
     ``min_cosine``: only neighbours at or above it. Cosines are exact; ties go to the smaller id. The
     search is approximate: of the pairs at a cosine of 0.8 or more at least 95% are found; more
     distant neighbours are the best of the PROBES cells. Exact copies are each other's neighbours at
-    cosine 1, the smallest ids first. ``id`` must be unique; an empty table gives no rows; extra
+    cosine 1, the smallest ids first. ``id`` must be unique; rows without one are left out; an empty table gives no rows; extra
     columns are not read.
     """
-    rows = vectors.where(usable(F.col(vec), dims)).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
+    rows = vectors.where(usable(F.col(vec), dims) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
     reps, copies = _collapse(rows)
     found = _cells(reps, dims, k, min_cosine, seed).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     if min_cosine is None:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,35 +169,29 @@ def pack_documents(documents: DataFrame, capacity: int, size: Column, *, id: str
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    items = documents.select(F.col(id).alias("doc_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    items = documents.select(F.col(id).alias("doc_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size")).withColumn("doc_id", F.col("doc_id").cast("long"))
     groups = max(1, ceil(items.select("doc_id").count() / GROUP))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if len(b)]
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pd.concat(held, ignore_index=True).sort_values(["doc_id", "size"], ignore_index=True)
-        n = np.maximum(1, -(-rows["size"].to_numpy() // capacity))
-        at = np.repeat(np.arange(len(rows)), n)
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        sizes = rows["size"].to_numpy()
+        n = np.maximum(1, -(-sizes // capacity))
+        at = np.repeat(np.arange(len(sizes)), n)
         piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         start = piece * capacity
-        stop = np.minimum(start + capacity, rows["size"].to_numpy()[at])
-        window = pack(stop - start, capacity)
-        yield pd.DataFrame(
-            {
-                "window": (TaskContext.get().partitionId() << 40) + window,
-                "doc_id": rows["doc_id"].to_numpy()[at],
-                "piece": piece.astype("int32"),
-                "token_from": start,
-                "token_to": stop,
-                "pieces": n[at].astype("int32"),
-            }
-        )
+        stop = np.minimum(start + capacity, sizes[at])
+        window = (TaskContext.get().partitionId() << 40) + pack(stop - start, capacity)
+        ids = rows["doc_id"].combine_chunks().take(pa.array(at))  # Arrow keeps null ids and large ones as they are
+        columns = [pa.array(window), ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(stop), pa.array(n[at].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["window", "doc_id", "piece", "token_from", "token_to", "pieces"])
 
     spread = items.repartition(groups, F.xxhash64(F.lit(6), "doc_id"))
-    return spread.mapInPandas(run, "window long, doc_id long, piece int, token_from long, token_to long, pieces int")
+    return spread.mapInArrow(run, "window long, doc_id long, piece int, token_from long, token_to long, pieces int")
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
@@ -209,5 +203,5 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
         F.count_if(F.col("piece") == 0).alias("documents"),
         F.count_if((F.col("piece") == 0) & (F.col("pieces") > 1)).alias("split_documents"),
         F.coalesce(tokens, F.lit(0)).alias("tokens"),
-        F.round(F.coalesce(tokens, F.lit(0)) / (windows * capacity), 4).alias("fill"),
+        F.round(F.coalesce(F.try_divide(tokens, windows * capacity), F.lit(0.0)), 4).alias("fill"),
     )

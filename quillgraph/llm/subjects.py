@@ -30,7 +30,9 @@ from ..scratch import shared_dir
 #: Most labelled documents that are fitted on; embeddings and their width; partitions of the sample.
 MAX_LABELLED, BUCKETS, WIDTH, PARTS = 5_000, 1 << 14, 16, 6
 #: Rounds with document labels, rounds with statement labels, step of Adam.
-ROUNDS, LATER, STEP = 20, 16, 0.1
+ROUNDS, LATER, STEP = 36, 44, 0.1
+#: How far a statement must score above the base rate, on the way to 1, to keep a label in the later rounds.
+LIFT = 0.06
 #: Lowest score of a statement that deals with a subject; share of the topical statements that makes it the document's.
 SCORE, SHARE = 0.4, 0.25
 
@@ -148,7 +150,8 @@ class Sample:
         target = self.target
         if later:  # a statement keeps the label that fits it best, if it fits at all
             fit = score * (target > 0)
-            target = target * ((score > 0.25) & (fit >= 0.999 * fit.max(1, keepdims=True)))
+            base = (self.weight @ target) / self.weight.sum()  # what a statement about nothing scores
+            target = target * ((score > base + LIFT * (1 - base)) & (fit >= 0.999 * fit.max(1, keepdims=True)))
         off = ((score - target) * self.weight[:, None]).astype(np.float32)
         per_word = (off @ model.output.T) / np.diff(self.offsets)[:, None].astype(np.float32)
         at_word = _sum_by(self.words, np.repeat(np.arange(len(self.weight)), np.diff(self.offsets)), per_word, len(words))
@@ -240,7 +243,7 @@ def score(documents: DataFrame, model: Model, *, threshold: float = SCORE, id: s
     """(doc_id, subject, statements, topical): per document and subject the statements that deal with it, and all topical ones.
 
     A statement deals with the subject it scores highest, if at least ``threshold``. Documents of
-    null, empty or blank text and those without a topical statement give no rows. Texts are scored
+    null, empty or blank text, those without an id and those without a topical statement give no rows. Texts are scored
     whole; repeated rows come out repeatedly.
     """
     spark: SparkSession = documents.sparkSession
@@ -266,7 +269,7 @@ def score(documents: DataFrame, model: Model, *, threshold: float = SCORE, id: s
             d, k = np.nonzero(counts)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[d], "subject": subjects[k], "statements": counts[d, k], "topical": counts.sum(1)[d].astype("int32")})
 
-    rows = documents.where(F.col(text).rlike(r"\S")).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    rows = documents.where(F.col(text).rlike(r"\S") & F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, subject string, statements int, topical int")
 
 
