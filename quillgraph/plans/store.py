@@ -10,6 +10,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,8 +253,6 @@ class Store:
 
             exists = lambda paths: [os.path.exists(p) for p in paths]
 
-        import pandas as pd
-
         @F.pandas_udf("boolean")
         def there(paths: pd.Series) -> pd.Series:
             return pd.Series(exists(list(paths)))

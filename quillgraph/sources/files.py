@@ -18,7 +18,10 @@ MAGIC, VERSION, HEAD = 0x52414744, 1, 32
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, length, modified) of the files below ``path``, without hidden ones and those in store and git folders."""
+    """(path, content, length, modified) of the files below ``path``, without hidden ones and those in store and git folders.
+
+    Spark's file source leaves out files without a byte; they would be chunks without text.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     clean = F.regexp_replace("path", r"^file:/*", "/")
     below = F.substring(clean, len(path.rstrip("/")) + 1, 1_000_000)
