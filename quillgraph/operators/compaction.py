@@ -112,7 +112,11 @@ def _schedule(sizes: list[tuple[int, int]], groups: int) -> dict[int, int]:
 
 
 def _writer(out: str, files_of: dict[int, int]):
-    """Streams the records of a group (sorted by group, longest first) to its files; repeated rows lie together and count once."""
+    """Streams the records of a group to its files.
+
+    Rows come sorted by group, longest first, id and mark. A row without mark announces that the id
+    is a record; the first marked row behind it holds the record, all others are repeats.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -154,15 +158,17 @@ def _writer(out: str, files_of: dict[int, int]):
             if f["held"] >= 16 << 20:
                 f["flush"]()
 
-        done, last = [], None
+        done, wanted = [], None
         for b in batches:
             t = pa.Table.from_batches([b])
-            ids = t["file_id"].to_numpy()
-            if len(ids):
-                new = np.r_[ids[0] != last, ids[1:] != ids[:-1]]
-                last = ids[-1]
-                if not new.all():
-                    t = t.filter(pa.array(new))
+            ids, marked = t["file_id"].to_numpy(), t["mark"].to_numpy()
+            keep = np.zeros(len(ids), bool)
+            for i, (id_, mark) in enumerate(zip(ids.tolist(), marked.tolist())):
+                if not mark:
+                    wanted = id_
+                elif id_ == wanted:
+                    keep[i], wanted = True, None
+            t = t.filter(pa.array(keep))
             gs = t["grp"].to_numpy()
             cuts = [0, *((gs[1:] != gs[:-1]).nonzero()[0] + 1).tolist(), len(gs)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -239,14 +245,17 @@ def compact(files: DataFrame, out: str | None = None, *, target_bytes: int = TAR
         load[to[b]] = load.get(to[b], 0) + s
     files_of = {g: max(1, ceil(n / target_bytes - 0.25)) for g, n in load.items()}
     plan = F.broadcast(spark.createDataFrame(list(to.items()), "bucket int, grp int"))
-    records = files.select("file_id", chunk_path(F.col("path"), F.col("content")).alias("path"), "content", size.alias("size"), bucket).join(kept, "file_id", "left_semi")
-    staged = records.join(plan, "bucket").repartitionById(groups, "grp").sortWithinPartitions("grp", F.desc("size"), "file_id")
+    # the records' contents move once: what is a record is told to the writers by rows of ids in the same order
+    rows = files.select("file_id", size.alias("size"), chunk_path(F.col("path"), F.col("content")).alias("path"), "content", F.lit(1).alias("mark"))
+    none = F.lit(None).cast("string")
+    told = sized.select("file_id", "size", none.alias("path"), none.alias("content"), F.lit(0).alias("mark"))
+    staged = rows.unionByName(told).withColumn("bucket", bucket).join(plan, "bucket").repartitionById(groups, "grp").sortWithinPartitions("grp", F.desc("size"), "file_id", "mark")
     staging = f"{out}/data"
-    made = Table(staged.select("grp", "size", "path", "content", "file_id").mapInArrow(_writer(staging, files_of), "file string, records long, content_bytes long"), "made").df
+    made = Table(staged.select("grp", "size", "file_id", "mark", "path", "content").mapInArrow(_writer(staging, files_of), "file string, records long, content_bytes long"), "made").df
 
     # verify: a lost attempt may have left files that no row of ``made`` names
     names = [r.file for r in made.select("file").collect()]
-    once = records.select("file_id", "size", F.xxhash64("path", "content").alias("sum")).distinct()
+    once = rows.select("file_id", "size", F.xxhash64("path", "content").alias("sum")).join(kept, "file_id", "left_semi").distinct()
     expected = tuple(once.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bit_xor("sum"), F.lit(0))).first())
     if names:
         found = _checksum(spark.read.schema("path string, content string, file_id long").parquet(*(f"{staging}/{n}" for n in names)))
