@@ -380,6 +380,6 @@ def split_sources(sources: DataFrame, size: int, overlap: int, *, with_content:
         return pd.Series([pieces(c, s, x, size, overlap, with_content) for c, s, x in zip(content, strategy, language)])
 
     strategy = strategy_of(F.col("strategy"), F.col("path"))
-    big = sources.where(F.char_length("content") > size).select("path", strategy.alias("strategy"), "content").distinct()
+    big = sources.where(F.char_length("content") > size).select("path", strategy.alias("strategy"), "content")
     cut = big.select("path", "strategy", F.explode(split("content", "strategy", extension(F.col("path")))).alias("p"))
-    return cut.select("path", "strategy", "p.*")
+    return cut.select("path", "strategy", "p.*").distinct()  # the pieces of repeated rows, so that whole contents need not move
