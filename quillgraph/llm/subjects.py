@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..scratch import shared_dir
 
 #: Most labelled documents that are fitted on; embeddings and their width; partitions of the sample.
-MAX_LABELLED, BUCKETS, WIDTH, PARTS = 5_000, 1 << 14, 16, 6
+MAX_LABELLED, BUCKETS, WIDTH, PARTS = 5_000, 1 << 14, 16, 4
 #: Rounds with document labels, rounds with statement labels, step of Adam.
 ROUNDS, LATER, STEP = 36, 44, 0.1
 #: How far a statement must score above the base rate, on the way to 1, to keep a label in the later rounds.
@@ -235,7 +235,7 @@ def train(sample: DataFrame, subjects: list[str], *, rounds: int = ROUNDS, later
             second[k] = 0.99 * second[k] + 0.01 * g * g
             move = rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-6)
             setattr(model, k, (getattr(model, k) - move).astype(np.float32))
-        shared.unpersist()
+        shared.destroy()
     return model
 
 
