@@ -39,12 +39,20 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("graph", "quality", "verify", "repair", "gc", "vacuum"):
         c.add_parser(name)
     c.add_parser("reindex").add_argument("what", nargs="?", default="all")
+    web = c.add_parser("serve")
+    web.add_argument("--port", type=int, default=8420)
+    web.add_argument("--tools", action="store_true", help="JSON-RPC over standard input instead of HTTP")
     setting = c.add_parser("config")
     setting.add_argument("key", nargs="?")
     setting.add_argument("value", nargs="?")
     a = p.parse_args(argv)
 
     store = Store(local(), a.store)
+    if a.command == "serve":
+        from . import server
+
+        server.serve_tools(store) if a.tools else server.serve(store, port=a.port).serve_forever()
+        return 0
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     run = {
         "init": lambda: store.init() and "ready",

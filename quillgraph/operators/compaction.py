@@ -121,6 +121,7 @@ def _writer(out: str, files_of: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        import pyarrow.compute as pc
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
@@ -192,7 +193,7 @@ def _writer(out: str, files_of: dict[int, int]):
                     to.append(k)
                 to = pa.array(to)
                 for k in set(to.to_pylist()):
-                    m = pa.compute.equal(to, k)
+                    m = pc.equal(to, k)
                     put(open_[k], keep.filter(m), int(size[m.to_numpy(zero_copy_only=False)].sum()))
         done += close()
         yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,3 +90,45 @@ def retrieved_edges(results: DataFrame, at: Column) -> DataFrame:
     """(source, target, etype, metadata): an edge from the query run to each path it found (query_id, path)."""
     stamp = F.unix_timestamp(at.cast("timestamp")).cast("string")
     return results.select(F.concat(F.lit("query_"), stamp, F.lit("_"), F.col("query_id").cast("string")).alias("source"), F.col("path").alias("target"), F.lit("retrieved").alias("etype"), stamp.alias("metadata"))
+
+
+_SUMMARY = "You summarise the chunks of a document in a few sentences."
+_ENTITIES = "You list the entities in a text as a JSON list of objects with name, type and description."
+_CLUSTER = "You write what related chunks have in common. If some contradict the others, end with a line CONTRADICTS: and their paths."
+
+
+def document_nodes(chunks: DataFrame, llm: Callable[[str, str], str]) -> DataFrame:
+    """(path, kind, body, sources, source_hashes): a summary and the entities of each document (path, doc_path, position, body).
+
+    The model reads a document's chunks in order; a document is one row of work. Blank answers make no node.
+    """
+    part = F.struct("position", "path", "body")
+    docs = chunks.where(X.has_body("body")).groupBy("doc_path").agg(F.array_sort(F.collect_list(part)).alias("c"))
+    docs = docs.select(
+        "doc_path", F.array_join(F.transform("c", lambda x: x["body"]), "\n\n").alias("text"), F.transform("c", lambda x: x["path"]).alias("sources"),
+        F.transform("c", lambda x: X.content_hash(x["body"])).alias("source_hashes"),
+    )
+    ask = lambda system: F.udf(lambda text: llm(system, text), "string")
+    told = docs.select("doc_path", "sources", "source_hashes", ask(_SUMMARY)("text").alias("summary"), ask(_ENTITIES)("text").alias("raw"))
+    summary = told.select(F.concat("doc_path", F.lit("/_summary.txt")).alias("path"), F.lit("summary").alias("kind"), F.col("summary").alias("body"), "sources", "source_hashes")
+    each = told.select("doc_path", "sources", "source_hashes", F.explode(parse_entities("raw")).alias("e"))
+    entity = each.select(entity_path(F.col("doc_path"), F.col("e.type"), F.col("e.name")).alias("path"), F.col("e.type").alias("kind"), F.coalesce("e.description", F.lit("")).alias("body"), "sources", "source_hashes")
+    return summary.where(X.has_body("body")).unionByName(entity)
+
+
+def cluster_nodes(found: DataFrame, chunks: DataFrame, llm: Callable[[str, str], str], min_size: int = 3) -> DataFrame:
+    """(path, kind, body, sources, source_hashes, contradicts): a synthesis of each component (component, path) with enough chunks that are not blank."""
+    rows = found.join(chunks.where(X.has_body("body")).select("path", "body"), "path")
+    groups = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("path", "body"))).alias("c")).where(F.size("c") >= min_size)
+    names = F.transform("c", lambda x: x["path"])
+    text = F.array_join(F.transform("c", lambda x: F.concat(x["path"], F.lit(":\n"), x["body"])), "\n\n")
+    made = groups.select(names.alias("sources"), F.transform("c", lambda x: X.content_hash(x["body"])).alias("source_hashes"), F.udf(lambda t: llm(_CLUSTER, t), "string")(text).alias("raw"))
+    said = made.where(X.has_body("raw")).withColumn("s", parse_synthesis("raw"))
+    path = F.concat(F.lit("_synthesis/_synth_"), X.short_hash(F.array_join("sources", ",")), F.lit(".txt"))
+    return said.select(path.alias("path"), F.lit("synthesis").alias("kind"), F.col("s.body").alias("body"), "sources", "source_hashes", F.array_intersect("sources", "s.contradicts").alias("contradicts"))
+
+
+def cluster_edges(nodes: DataFrame) -> DataFrame:
+    """(source, target, etype, metadata): ``synthesizes`` to each member, ``contradicts`` to those that the synthesis names."""
+    against = nodes.select("path", F.col("contradicts").alias("sources"))
+    return derived_edges(nodes, "cluster", "synthesizes").unionByName(derived_edges(against, "cluster", "contradicts"))

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .. import config
 from ..functions import text as X
 from ..operators import answer, bm25, chunk, graph, quality, search, vector
-from ..operators.synthesis import file_answers, mark_stale
+from ..operators.synthesis import cluster_edges, cluster_nodes, derived_edges, document_nodes, file_answers, mark_stale, merge_entities
 from ..scratch import delete
 from ..sources import files, parse
 
@@ -164,14 +164,34 @@ class Store:
             for table, rows in (("chunks", rest.unionByName(made)), ("edges", kept.unionByName(links)), ("postings", index), ("vectors", vectors), ("ledger", ledger)):
                 if rows is not None:
                     self.replace(table, rows)
+        if n_files and self.llm and settings["synthesis.enabled"] == "true":
+            nodes = document_nodes(made, self.llm).persist()
+            self._put_nodes(nodes, derived_edges(nodes))
+            nodes.unpersist()
         parsed.unpersist()
         made.unpersist()
         return {"files": n_files, "chunks": n_chunks, "skipped": n_all - n_files}
 
+    def _put_nodes(self, nodes: DataFrame, links: DataFrame) -> None:
+        """Add synthesis nodes (path, kind, body, sources, source_hashes), entities merged with those of the same path, and their edges."""
+        chunks = self.table("chunks")
+        old = chunks.where(F.col("kind") != "chunk").join(nodes.select("path"), "path", "left_semi")
+        is_summary = F.col("kind").isin("summary", "synthesis")
+        hashes = F.array().cast("array<string>").alias("source_hashes")
+        whole = nodes.where(is_summary).unionByName(merge_entities(old.where(~is_summary).select("path", "kind", "body", "sources", hashes), nodes.where(~is_summary)))
+        rows = whole.join(nodes.select("path").distinct(), "path", "left_semi").drop("source_hashes")
+        none = {c: F.lit(None) for c in ("heading", "position", "total", "strategy", "source", "source_hash")}
+        place = {"domain": X.domain_of("path"), "doc_path": F.regexp_replace("path", "/[^/]*$", ""), "stale": F.lit(False), "has_provenance": F.lit(True), "written_at": F.current_timestamp()}
+        self.replace("chunks", chunks.join(nodes.select("path"), "path", "left_anti").unionByName(rows.withColumns(none | place).select(chunks.columns)))
+        last = self.table("edges").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        self.append("edges", links.withColumns({"seq": F.lit(last + 1) + F.monotonically_increasing_id(), "created_at": F.current_timestamp()}))
+
     # queries
 
     def search(self, query: str, mode: str = "hybrid", *, domain: str = "", top: int | None = None, scorer=None) -> DataFrame:
         """(query_id, path, score, rank, explain, content, domain)."""
+        if mode not in search.MODES:
+            raise ValueError(f"mode is one of {search.MODES}")
         s = self.config()
         vec = self.embedder.embed([query])[0] if self.embedder and mode != "keyword" else None
         row = self.spark.createDataFrame([(0, query, vec)], "query_id int, query string, vec array<float>")
@@ -222,6 +242,11 @@ class Store:
         n = new.count()
         if n:
             self.append("edges", new.withColumns({"seq": F.lit(last + 1) + F.monotonically_increasing_id(), "created_at": F.current_timestamp()}))
+            if self.llm and self.config()["synthesis.enabled"] == "true":
+                related = self.table("edges").where(F.col("etype") == "related_to")
+                nodes = cluster_nodes(graph.components(related.select(F.col("source").alias("a"), F.col("target").alias("b"))), self.table("chunks"), self.llm).persist()
+                self._put_nodes(nodes.drop("contradicts"), cluster_edges(nodes))
+                nodes.unpersist()
         new.unpersist()
         return n
 

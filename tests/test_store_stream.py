@@ -58,6 +58,26 @@ def test_rules_relate_and_ask(spark, tmp_path):
     assert s.table("chunks").where("kind = 'answer'").count() == 1 and s.table("edges").where("metadata = 'query'").count() == len(a.sources)
 
 
+def test_synthesis(spark, tmp_path):
+    def llm(system, text):
+        if "JSON" in system:
+            return '[{"name": "Red Fox", "type": "animal", "description": "sly"}]'
+        return "All foxes.\nCONTRADICTS: c/01.txt" if "CONTRADICTS" in system else "A summary."
+
+    put(tmp_path / "src", {f"{n}.txt": "the red fox sleeps in the den" for n in "abc"})
+    s = Store(spark, str(tmp_path / "store"), embedder=HashEmbedder(16), llm=llm).init()
+    s.set("synthesis.enabled", "true")
+    s.add(str(tmp_path / "src"))
+    kinds = {r.path: r.kind for r in s.table("chunks").collect()}
+    assert kinds["a/_summary.txt"] == "summary" and kinds["b/_animal_red_fox.txt"] == "animal" and len(kinds) == 9
+    assert s.table("edges").where("etype = 'derived_from'").count() == 6
+    assert s.relate() == 3
+    made = s.table("chunks").where("kind = 'synthesis'").collect()
+    assert len(made) == 1 and made[0].body == "All foxes." and made[0].path.startswith("_synthesis/_synth_")
+    edges = sorted((r.etype, r.target) for r in s.table("edges").where("metadata = 'cluster'").collect())
+    assert edges == [("contradicts", "c/01.txt"), *(("synthesizes", f"{n}/01.txt") for n in "abc")]
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store")).init()
     rows = spark.createDataFrame([("a.txt", "one text"), ("b.txt", "other text"), ("a.txt", "one text")], "path string, content string")
