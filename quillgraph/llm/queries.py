@@ -24,8 +24,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 nearest others of every usable vector."""
-    return neighbors.nearest(_table(spark, d, "chunk_vectors"), int(config.read(spark, d)["embedding.dimensions"]))
+    """The 10 nearest others of every usable vector, with the cosines of 8-bit vectors."""
+    return neighbors.nearest(_table(spark, d, "chunk_vectors"), int(config.read(spark, d)["embedding.dimensions"]), exact=False)
 
 
 def _pieces(spark: SparkSession, d: str, with_content: bool) -> DataFrame:
