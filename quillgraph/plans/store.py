@@ -20,6 +20,7 @@ from ..functions import text as X
 from ..operators import answer, bm25, chunk, graph, quality, search, vector
 from ..operators.synthesis import cluster_edges, cluster_nodes, derived_edges, document_nodes, file_answers, mark_stale, merge_entities
 from ..scratch import delete
+from ..session import ship
 from ..sources import files, parse
 
 SCHEMAS = {
@@ -40,6 +41,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, *, embedder: vector.Embedder | None = None, llm: answer.LLM | None = None, extractors=None):
         self.spark, self.root = spark, root.rstrip("/")
         self.embedder, self.llm, self.extractors = embedder, llm, extractors
+        ship(spark)
 
     # tables
 

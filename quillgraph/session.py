@@ -1,7 +1,11 @@
-"""A local session with the settings that the tests and the bench use."""
+"""Sessions: a local one for the tests and the bench, and what any session needs."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,17 @@ def local(cores: int = 8, memory: str = "8g", partitions: int | None = None) ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once a session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quillgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quillgraph-")) / "quillgraph.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._quillgraph_shipped = True
