@@ -1,5 +1,9 @@
 """The most similar vectors of every vector.
 
+Without a threshold, every vector is compared with all others, by matrix products of 16-bit vectors
+in parts: the ten nearest of vectors without clusters are so distant that neither cells nor the
+codes' error bounds would leave out much without losing some. With a threshold, cells and codes do.
+
 Cells: a bounded sample of the vectors serves as cell centres, some 3 sqrt(n) of them; every vector
 goes to the PROBES cells whose centres are nearest. Vectors at a cosine of 0.8 share a cell with
 about 98% probability even where the data have no clusters. Cells that the sample shows to be large
@@ -8,8 +12,7 @@ are split into blocks, and pairs of blocks become groups of their own, so that n
 Codes: in a cell, vectors are compared by randomly rotated one-bit codes. A code is the signs of the
 rotated unit vector; with the scalar <code, vector> it gives an unbiased estimate of the inner
 product with any query, taken from the packed bits and a query of 4-bit numbers by and + popcount.
-The estimate's error bound tells which vectors could be among the nearest or reach the threshold;
-only those are reranked, by 8-bit vectors in the cell and, for what is returned, by exact cosines.
+The estimate's error bound tells which vectors could reach the threshold; only those are reranked, by 8-bit vectors in the cell and, for what is returned, by exact cosines.
 
 Exact copies are compared once: one of them stands for all, and the others take over its neighbours.
 """
@@ -29,6 +32,8 @@ from ..scratch import Table
 
 #: Cells of each vector; most cells (bounds the sample and what is broadcast); rows of a block.
 PROBES, MAX_CELLS, BLOCK = 6, 8192, 4096
+#: Parts of the search without a threshold, and the least and the most vectors of one.
+PARTS, PART, MOST = 12, 8192, 65536
 #: Width of the error bound in standard deviations; slack for 8-bit reranking.
 EPSILON, SLACK = 2.4, 0.02
 
@@ -98,8 +103,8 @@ class Query:
         return est, err
 
 
-def _compare(x: np.ndarray, block: np.ndarray, rotation: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, cosine) of the k best others of each row among the rows of its cell.
+def _compare(x: np.ndarray, block: np.ndarray, rotation: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, cosine) of the k best others at or above the floor of each row among the rows of its cell.
 
     ``block``: where it has two values, only pairs across them count.
     """
@@ -112,53 +117,68 @@ def _compare(x: np.ndarray, block: np.ndarray, rotation: np.ndarray, k: int, flo
         r = rows[lo : lo + 256]
         est, err = Query(x[r], rotation).estimate(codes[cols], scalars[cols])
         if not across:
-            est[cols[None, :] == r[:, None]] = -9
-        if floor is not None:
-            if not across:
-                est[cols[None, :] < r[:, None]] = -9  # each pair once, it is kept for both
-            i, j = np.nonzero(est + err >= floor - SLACK)
-        else:
-            low = np.partition(est - err, -min(k, est.shape[1]), axis=1)[:, -min(k, est.shape[1])]
-            near = (est + err >= low[:, None]) & (est > -9)
-            if near.mean() > 0.05:  # the bounds leave many: compare the block at once
-                exact = np.where(near, x[r] @ x[cols].T, -9)
-                keep = min(k + 2, exact.shape[1])
-                j = np.argpartition(-exact, keep - 1, axis=1)[:, :keep]
-                i = np.repeat(np.arange(len(r)), keep)
-                j = j.ravel()
-                there = exact[i, j] > -9
-                a.append(r[i[there]])
-                b.append(cols[j[there]])
-                s.append(exact[i, j][there])
-                if across:  # the other block's rows have theirs among the same products
-                    keep = min(k + 2, exact.shape[0])
-                    i = np.argpartition(-exact, keep - 1, axis=0)[:keep].ravel()
-                    j = np.tile(np.arange(len(cols)), keep)
-                    there = exact[i, j] > -9
-                    a.append(cols[j[there]])
-                    b.append(r[i[there]])
-                    s.append(exact[i, j][there])
-                continue
-            i, j = np.nonzero(near)
+            est[cols[None, :] <= r[:, None]] = -9  # each pair once, it is kept for both
+        i, j = np.nonzero(est + err >= floor - SLACK)
         if not len(i):
             continue
         i, j = r[i], cols[j]
         dots = np.concatenate([np.einsum("ij,ij->i", x[i[q : q + 65536]], x[j[q : q + 65536]]) for q in range(0, len(i), 65536)])
-        near = dots >= (floor - SLACK if floor is not None else -2)
+        near = dots >= floor - SLACK
         i, j, dots = i[near], j[near], dots[near]
-        both = floor is not None or across
-        a += [i, j] if both else [i]
-        b += [j, i] if both else [j]
-        s += [dots, dots] if both else [dots]
+        a += [i, j]
+        b += [j, i]
+        s += [dots, dots]
     if not a:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
     a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+    order, best = _first_of(a, b, s, k + 2)  # two more than asked, as 8-bit cosines may swap places
+    return a[order][best], b[order][best], s[order][best]
+
+
+def _first_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by a, falling s and b, which of the ordered entries are among the k first of their a)."""
     order = np.lexsort((b, -s, a))
-    a, b, s = a[order], b[order], s[order]
-    first = np.r_[True, a[1:] != a[:-1]]
+    a = a[order]
+    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
     place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-    best = place < k + 2  # two more than asked, as 8-bit cosines may swap places
-    return a[best], b[best], s[best]
+    return order, place < k
+
+
+class Nearest:
+    """The ``keep`` nearest others of each row of ``x`` among all unit vectors that are shown to it."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, keep: int):
+        self.ids, self.x, self.keep = ids, x, keep
+        self.least = np.full(len(x), -2, np.float32)  # the cosine of the last one kept, from which others count
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        self.new = 0
+
+    def show(self, ids: np.ndarray, y: np.ndarray) -> None:
+        for lo in range(0, len(y), 2048):
+            part, names = y[lo : lo + 2048].T, ids[lo : lo + 2048]
+            for at in range(0, len(self.x), 512):
+                s = self.x[at : at + 512] @ part
+                least = self.least[at : at + 512]
+                if s.shape[1] > self.keep + 1 and least.min() <= -2:  # one more, for the row itself
+                    least = np.maximum(least, np.partition(s, -self.keep - 1, axis=1)[:, -self.keep - 1])
+                i, j = np.nonzero(s >= least[:, None])
+                other = self.ids[at + i] != names[j]
+                i, j = i[other], j[other]
+                self.held.append((at + i, names[j], s[i, j]))
+                self.new += len(i)
+            if self.new > len(self.x) * self.keep // 2:
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id of the other, cosine) so far."""
+        row, other, s = (np.concatenate(v) for v in zip(*self.held))
+        order, best = _first_of(row, other, s, self.keep)
+        row, other, s = row[order][best], other[order][best], s[order][best]
+        full = np.bincount(row, minlength=len(self.x)) == self.keep
+        last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
+        self.least[full] = s[last & full[row]]
+        self.held, self.new = [(row, other, s)], 0
+        return row, other, s
 
 
 def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -171,8 +191,8 @@ def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(copies.where(F.col("id") != F.col("rep")).select("id"), "id", "left_anti"), copies
 
 
-def _cells(reps: DataFrame, dims: int, k: int, floor: float | None, seed: int) -> DataFrame:
-    """(a, b, sim): for each vector candidates for its nearest others; sim from 8-bit vectors."""
+def _cells(reps: DataFrame, dims: int, k: int, floor: float, seed: int) -> DataFrame:
+    """(a, b, sim): for each vector candidates for its nearest others at or above the floor; sim from 8-bit vectors."""
     spark = reps.sparkSession
     n = reps.select("id").count()
     cells = cell_count(n)
@@ -237,6 +257,65 @@ def _cells(reps: DataFrame, dims: int, k: int, floor: float | None, seed: int) -
     return placed.groupBy("cell", "lo", "hi").applyInPandas(search, "a long, b long, sim float")
 
 
+def _all(reps: DataFrame, dims: int, k: int) -> DataFrame:
+    """(a, b, sim): for each vector the k + 2 nearest of all others; sim from 16-bit vectors.
+
+    A task holds the vectors of one part and all vectors pass by, some thousand at a time.
+    """
+    n = reps.select("id").count()
+    parts = max(1, math.ceil(n / min(max(math.ceil(n / PARTS), PART), MOST)))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, ids = _unit(b["vec"], dims), b["id"].to_numpy()
+            fine = np.isfinite(x).all(1)
+            x, ids = x[fine], ids[fine]
+            raw = np.rint(x * (32767 / np.abs(x).max(1, keepdims=True))).astype(np.int16)
+            own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+            there = np.unique(own)
+            yield pd.DataFrame({"own": there.astype("int32"), "ids": [ids[own == o].tobytes() for o in there], "codes": [raw[own == o].tobytes() for o in there]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Nearest | None = None
+        mine, held, rows = [], [], 0
+
+        def read(packed: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+            x = np.frombuffer(b"".join(c for _, c in packed), np.int16).reshape(-1, dims).astype(np.float32)
+            return np.frombuffer(b"".join(i for i, _ in packed), np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        for b in batches:
+            for part, own, ids, codes in zip(b["part"], b["own"], b["ids"], b["codes"]):
+                if part == own:  # these come first
+                    mine.append((ids, codes))
+                    continue
+                if not mine:
+                    continue
+                if found is None:
+                    found = Nearest(*read(mine), k + 2)
+                    found.show(found.ids, found.x)
+                held.append((ids, codes))
+                rows += len(ids) // 8
+                if rows >= 4096:
+                    found.show(*read(held))
+                    held, rows = [], 0
+        if found is None and mine:
+            found = Nearest(*read(mine), k + 2)
+            found.show(found.ids, found.x)
+        if found is None:
+            return
+        if held:
+            found.show(*read(held))
+        a, b, s = found.best()
+        yield pd.DataFrame({"a": found.ids[a], "b": b, "sim": np.minimum(s, 1)})
+
+    packed = reps.select("id", "vec").mapInPandas(pack, "own int, ids binary, codes binary")
+    to = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = to.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("part") != F.col("own"))
+    return dealt.mapInPandas(search, "a long, b long, sim float")
+
+
 def _best(pairs: DataFrame, of: str, k: int, *order: Column) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -245,18 +324,19 @@ def nearest(vectors: DataFrame, dims: int, k: int = 10, *, min_cosine: float | N
     """(vec_id, neighbor, cosine, rank): up to ``k`` other vectors of highest cosine for every usable vector.
 
     Unusable vectors (null, another length, NaN, infinite, all zero) neither have nor are neighbours.
-    ``min_cosine``: only neighbours at or above it. Cosines are exact, or with ``exact`` False those of
-    8-bit vectors, within 0.01, which saves two joins with the vectors; ties go to the smaller id. The
-    search is approximate: of the pairs at a cosine of 0.8 or more at least 95% are found; more
-    distant neighbours are the best of the PROBES cells. Exact copies are each other's neighbours at
+    Every vector is compared with all others. ``min_cosine``: only neighbours at or above it, which are
+    searched in cells: of the pairs at a cosine of 0.8 or more at least 95% are found. Cosines are
+    exact, or with ``exact`` False those of 16-bit vectors (with ``min_cosine`` of 8-bit vectors, within
+    0.01), which saves two joins with the vectors; ties go to the smaller id. Exact copies are each other's neighbours at
     cosine 1, the smallest ids first. ``id`` must be unique; rows without one are left out; an empty table gives no rows; extra
     columns are not read.
     """
     rows = vectors.where(usable(F.col(vec), dims) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
     reps, copies = _collapse(rows)
-    found = _cells(reps, dims, k, min_cosine, seed).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     if min_cosine is None:
-        found = _best(found, "a", k + 2, F.desc("sim"), F.col("b"))
+        found = _all(reps, dims, k)
+    else:
+        found = _cells(reps, dims, k, min_cosine, seed).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     found = Table(found.select("a", "b", "sim"), "candidates").df
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     there = rows.join(ends, "id", "left_semi")

@@ -74,3 +74,18 @@ def test_a_third_are_copies(spark):
     assert lists[0] == list(range(1, 11)) and lists[50] == list(range(10)) and lists[5] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
     assert lists[299][:10] == list(range(10))
     assert got.groupby("vec_id").size().max() <= 10
+
+
+def test_all_are_searched_without_a_threshold(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    x = unit(r.standard_normal((5000, 32)).astype(np.float32))  # no clusters
+    x[4990:] = x[:10]
+    for part in (N.PART, 900):  # one part and several
+        monkeypatch.setattr(N, "PART", part)
+        got = N.nearest(frame(spark, x), 32, 10, exact=False).toPandas()
+        s = x.astype(float) @ x.T.astype(float)
+        np.fill_diagonal(s, -9)
+        assert len(got) == 50_000 and got.groupby("vec_id").size().eq(10).all()
+        hit = sum(len(set(g["neighbor"]) & set(np.argsort(-s[i])[:10])) for i, g in got.groupby("vec_id"))
+        assert hit / 50_000 > 0.99
+        assert np.allclose(got["cosine"], s[got["vec_id"], got["neighbor"]], atol=1e-3)
