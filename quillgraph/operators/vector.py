@@ -186,17 +186,16 @@ def relate_lsh(vectors: DataFrame, threshold: float = 0.8, *, dims: int, tables:
     return _blocked(placed, ["domain", "slot", "bucket"], threshold, BLOCK).groupBy("domain", "a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-#: Above so many vectors in a domain the search for relations is approximate.
-EXACT_UP_TO = 1000
+#: Vectors of a block where all pairs of large domains are compared.
+LARGE_BLOCK = 2048
 
 
-def relate(vectors: DataFrame, edges: DataFrame, threshold: float = 0.8, *, dims: int, **lsh) -> DataFrame:
-    """(source, target, etype, metadata): new ``related_to`` edges; pairs related in either direction are left out."""
-    large = [r.domain for r in vectors.groupBy("domain").count().where(F.col("count") > EXACT_UP_TO).select("domain").collect()]
-    small = vectors.where(~F.coalesce(F.col("domain").isin(large), F.lit(False)))
-    pairs = relate_exact(small, threshold)
-    if large:
-        pairs = pairs.unionByName(relate_lsh(vectors.where(F.col("domain").isin(large)), threshold, dims=dims, **lsh))
+def relate(vectors: DataFrame, edges: DataFrame, threshold: float = 0.8, *, dims: int) -> DataFrame:
+    """(source, target, etype, metadata): new ``related_to`` edges; pairs related in either direction are left out.
+
+    All pairs of a domain are compared, however many vectors of ``dims`` numbers it has.
+    """
+    pairs = relate_exact(vectors.where(F.size("vec") == dims), threshold, block=LARGE_BLOCK)
     known = edges.where(F.col("etype") == "related_to").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     new = pairs.join(known, ["a", "b"], "left_anti")
     return new.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("related_to").alias("etype"), F.format_string("similarity=%.4f", "similarity").alias("metadata"))

@@ -97,6 +97,17 @@ def test_relations_exact_and_lsh(spark):
     assert {(r.source, r.target) for r in new} == want - {(a, b)} and all(r.metadata.startswith("similarity=0.") or r.metadata.startswith("similarity=1.") for r in new)
 
 
+def test_relations_of_a_large_domain_are_whole(spark):
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(r.standard_normal((1250, 32)))
+    x = np.concatenate([base, unit(base + 0.65 * unit(r.standard_normal(base.shape)))])  # cosines around 0.84
+    df = spark.createDataFrame([(f"p{i:04d}", "d", [float(a) for a in v]) for i, v in enumerate(x)], "path string, domain string, vec array<double>")
+    want = {(f"p{i:04d}", f"p{j:04d}") for i, j in np.argwhere(np.triu(x @ x.T, 1) >= 0.8)}
+    none = spark.createDataFrame([], "source string, target string, etype string")
+    assert len(want) > 1000 and {(e.source, e.target) for e in vector.relate(df, none, 0.8, dims=32).collect()} == want
+
+
 def test_embedding_reuses_equal_texts(spark):
     calls = []
 
