@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,13 +177,26 @@ def lsh_buckets(vectors: DataFrame, planes: np.ndarray) -> DataFrame:
     return of.select("domain", "path", "vec", F.posexplode("_b").alias("slot", "bucket"))
 
 
-def relate_lsh(vectors: DataFrame, threshold: float = 0.8, *, dims: int, tables: int = 10, bits: int = 16, seed: int = 42) -> DataFrame:
+#: Share of the pairs at the threshold itself that are to share a bucket; of closer ones more do.
+RECALL = 0.95
+
+
+def tables_for(threshold: float, bits: int, recall: float = RECALL) -> int:
+    """Tables of hyperplanes in which a pair at the threshold shares a bucket with the probability ``recall``."""
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if meet == 0:
+        raise ValueError("opposite vectors share no bucket; use relate_exact")
+    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log1p(-meet))
+
+
+def relate_lsh(vectors: DataFrame, threshold: float = 0.8, *, dims: int, tables: int | None = None, bits: int = 16, seed: int = 42) -> DataFrame:
     """(domain, a, b, similarity), a < b: the pairs at or above the threshold that share a bucket; cosines are exact.
 
+    ``tables``: by default as many as threshold and bits need for the share RECALL of the pairs.
     Buckets larger than a block are compared block by block, so that none is too large for a task.
     """
     named = vectors.select("path", F.coalesce("domain", F.lit("")).alias("domain"), "vec")
-    placed = lsh_buckets(named, hyperplanes(dims, tables, bits, seed))
+    placed = lsh_buckets(named, hyperplanes(dims, tables or tables_for(threshold, bits), bits, seed))
     return _blocked(placed, ["domain", "slot", "bucket"], threshold, BLOCK).groupBy("domain", "a", "b").agg(F.max("similarity").alias("similarity"))
 
 

@@ -166,7 +166,7 @@ def relate_exact(spark, d):
 
 
 def relate_lsh(spark, d):
-    return vector.relate_lsh(_vectors(spark, d), THRESHOLD, dims=64, tables=20, bits=6).withColumn("similarity", F.round("similarity", 6))
+    return vector.relate_lsh(_vectors(spark, d), THRESHOLD, dims=64, bits=6).withColumn("similarity", F.round("similarity", 6))
 
 
 def related_edges(spark, d):

@@ -108,6 +108,15 @@ def test_relations_of_a_large_domain_are_whole(spark):
     assert len(want) > 1000 and {(e.source, e.target) for e in vector.relate(df, none, 0.8, dims=32).collect()} == want
 
 
+def test_the_lsh_query_finds_nine_of_ten(spark, data):
+    from quillgraph import queries
+
+    pairs = lambda df: {(r.a, r.b) for r in df.collect()}
+    exact, found = pairs(queries.relate_exact(spark, data)), pairs(queries.relate_lsh(spark, data))
+    assert exact and found <= exact and len(found) >= 0.9 * len(exact)
+    assert vector.tables_for(1.0, 16) == 1 and vector.tables_for(0.8, 16) > 100
+
+
 def test_embedding_reuses_equal_texts(spark):
     calls = []
 
