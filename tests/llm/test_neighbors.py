@@ -89,3 +89,15 @@ def test_all_are_searched_without_a_threshold(spark, monkeypatch):
         hit = sum(len(set(g["neighbor"]) & set(np.argsort(-s[i])[:10])) for i, g in got.groupby("vec_id"))
         assert hit / 50_000 > 0.99
         assert np.allclose(got["cosine"], s[got["vec_id"], got["neighbor"]], atol=1e-3)
+
+
+@pytest.mark.parametrize("floor", [0.8, 0.6])
+def test_pairs_at_the_threshold_share_a_cell(floor):
+    r = np.random.default_rng(8)
+    centres, units, x, off = (unit(r.standard_normal((1024, 96)).astype(np.float32)) for _ in range(4))
+    probes = N.probes_for(centres, units, floor)
+    off = unit(off - (off * x).sum(1, keepdims=True) * x)
+    y = floor * x + np.sqrt(1 - floor**2) * off
+    near = [np.argsort(-(v @ centres.T), axis=1)[:, :probes] for v in (x, y)]
+    met = np.mean([bool(set(a) & set(b)) for a, b in zip(*near)])
+    assert probes > N.PROBES and met >= 0.95
