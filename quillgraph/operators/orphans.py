@@ -1,51 +1,42 @@
 """References to records that do not exist.
 
-References are grouped by the mask of their null key columns. Each group is matched on its
-non-null columns only, under the declared match semantics of SQL foreign keys:
+References are grouped by the mask of their null key columns, in one pass that also counts the rows
+of each key. Every mask that occurs is matched on its non-null columns only, under the declared match
+semantics:
 
 * ``simple``: a reference with any null key column counts as satisfied,
 * ``partial``: the non-null columns must agree with some record; all null counts as satisfied,
-* ``full``: all null counts as satisfied, partly null never is.
+* ``full``: all null counts as satisfied, partly null never is,
+* ``same``: a null is a value of its own: a record must have the same columns and the same nulls.
 
 The match is an outer anti-join: records are reduced to one row per key (how many, how many live,
-first written) before the join, so that one shuffle tells missing, deleted and late apart. Keys
-that many references share are salted: their few record rows are repeated once per salt.
+first written) before the join, so that one shuffle tells missing, deleted and late apart. Keys that
+many references share are spread over salts by their counts (``skew``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are salted, each with at least so many references, over so many salts.
-HOT_KEYS, HOT_ROWS, SALTS = 256, 50_000, 32
-MATCHES = ("simple", "partial", "full")
+from ..scratch import Table
+from .skew import hot_keys, spread_join
 
+MATCHES = ("simple", "partial", "full", "same")
 
-def _hot(refs: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys with most references; at most HOT_KEYS."""
-    counts = refs.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
-    return [r.h for r in counts.orderBy(F.desc("n"), "h").limit(HOT_KEYS).collect()]
 
+def _mask(keys: Sequence[str]) -> Column:
+    """The null key columns as bits."""
+    return reduce(Column.__add__, (F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0)).cast("int")
 
-def _match(refs: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """References with n, live and first of the records that agree on the keys (null: none)."""
-    per_key = records.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("died").isNull()).alias("live"), F.min("born").alias("first")
-    )
-    hot = _hot(refs, keys)
-    if not hot:
-        return refs.join(per_key, list(keys), "left")
-    is_hot = F.xxhash64(*keys).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = refs.withColumn("salt", salt.cast("int"))
-    right = per_key.withColumn("salt", F.explode(salts))
-    return left.join(right, [*keys, "salt"], "left")
+
+def _match(refs: DataFrame, records: DataFrame, there: Sequence[str], hot: list[tuple[int, int]], spread: list[Column]) -> DataFrame:
+    """References with n, live and first of the records that agree on the columns ``there`` (null: none)."""
+    per_key = records.groupBy(*there).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("died").isNull()).alias("live"), F.min("born").alias("first"))
+    return spread_join(refs, per_key, there, hot, "left", row=spread)
 
 
 def find_orphans(
@@ -57,7 +48,6 @@ def find_orphans(
     at: str | None = None,
     born: str | None = None,
     died: str | None = None,
-    nullable: Sequence[str] | None = None,
 ) -> DataFrame:
     """The references that do not resolve, with a column ``reason``.
 
@@ -65,33 +55,42 @@ def find_orphans(
     and ``died`` (of records) when a record came and went; null: unknown, not gone. ``reason``:
     'missing' if no record has the key, else 'deleted' if every such record is gone, else 'late' if
     the first of them came after the reference; 'partial' for a partly null key under ``full``.
-    ``nullable`` names the key columns that may hold nulls (default all); the others are not masked.
     Empty tables: no references give no rows, no records make every reference missing. Repeated
     references each come out. Other columns of refs stay, whatever their names, but for one named
     ``reason``, which is replaced; of records only the keys, ``born`` and ``died`` are read.
+    The references are read once to count masks and keys and once for each mask that must be matched.
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {MATCHES}")
     stamp = lambda name: (F.col(name) if name else F.lit(None)).cast("timestamp")
-    kept = [c for c in refs.columns if c != "reason"]
+    rest = [c for c in refs.columns if c != "reason" and c not in keys]
     names = {k: f"k{i}" for i, k in enumerate(keys)}
+    back = [F.col(names[c]).alias(c) if c in names else F.col("row")[c].alias(c) for c in refs.columns if c != "reason"]
+    spread = [F.col("row")[c] for c, t in refs.dtypes if c in rest and "map<" not in t and "variant" not in t]
+    cols = list(names.values())
     renamed = [F.col(k).alias(n) for k, n in names.items()]
     records = records.select(*renamed, stamp(born).alias("born"), stamp(died).alias("died"))
-    refs = refs.select(F.struct(*kept).alias("row"), *renamed, stamp(at).alias("at"))
-    masked = [names[k] for k in (keys if nullable is None else nullable)]
+    refs = refs.select(F.struct(F.lit(1).alias("_quill"), *rest).alias("row"), *renamed, stamp(at).alias("at"))
     reason = F.when(F.col("n").isNull(), "missing").when(F.col("live") == 0, "deleted").when(F.col("first") > F.col("at"), "late")
-    parts = [refs.select("row", F.lit("").alias("reason")).where(F.lit(False))]
-    for nulls in product((False, True), repeat=len(masked)):
-        of = dict(zip(masked, nulls))
-        there = [k for k in names.values() if not of.get(k)]
-        group = refs
-        for k, null in of.items():
-            group = group.where(F.col(k).isNull() if null else F.col(k).isNotNull())
-        if not any(nulls) or (match == "partial" and there):
-            parts.append(_match(group, records, there).select("row", reason.alias("reason")).where(F.col("reason").isNotNull()))
+    parts = [refs.select("row", *cols, F.lit("").alias("reason")).where(F.lit(False))]
+    # the hash skips nulls, so that it is that of the columns a mask is matched on
+    counted = Table(refs.groupBy(_mask(cols).alias("mask"), F.xxhash64(*cols).alias("h")).agg(F.count(F.lit(1)).alias("n")), "masks")
+    for mask, total in counted.df.groupBy("mask").agg(F.sum("n")).collect():  # the masks that occur, at most 2^keys
+        there = [k for i, k in enumerate(cols) if not mask >> i & 1]
+        group = refs.where(_mask(cols) == mask)
+        if not mask or match == "same" or (match == "partial" and there):
+            of = reduce(Column.__and__, (F.col(k).isNotNull() for k in there), F.lit(True))
+            agree = records.where(_mask(cols) == mask) if match == "same" else records.where(of)
+            if there:
+                hot = hot_keys(counted.df.where(F.col("mask") == mask), total)
+                found = _match(group, agree, there, hot, spread)
+            else:  # all null: every such reference meets the same records, one row of them
+                found = group.join(F.broadcast(agree.agg(F.expr("nullif(count(1), 0)").alias("n"), F.count_if(F.col("died").isNull()).alias("live"), F.min("born").alias("first"))))
+            parts.append(found.select("row", *cols, reason.alias("reason")).where(F.col("reason").isNotNull()))
         elif match == "full" and there:
-            parts.append(group.select("row", F.lit("partial").alias("reason")))
-    return reduce(DataFrame.unionByName, parts).select("row.*", "reason")
+            parts.append(group.select("row", *cols, F.lit("partial").alias("reason")))
+    counted.drop()
+    return reduce(DataFrame.unionByName, parts).select(*back, "reason")
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
@@ -116,12 +115,23 @@ def store_records(chunks: DataFrame, sources: DataFrame, collections: DataFrame)
     )
 
 
+def path_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with the composite key of ``path``: ``folder``, null for a name without one, and ``name``."""
+    cut = F.locate("/", F.reverse("path"))
+    folder = F.when(cut > 0, F.expr("left(path, char_length(path) - locate('/', reverse(path)))"))
+    return rows.withColumns({"folder": folder, "name": F.when(cut > 0, F.expr("right(path, locate('/', reverse(path)) - 1)")).otherwise(F.col("path"))})
+
+
 def edge_orphans(edges: DataFrame, chunks: DataFrame, sources: DataFrame, collections: DataFrame) -> DataFrame:
-    """(seq, etype, created_at, side, path, reason): the ends of valid edges that do not resolve."""
-    return find_orphans(
-        edge_ends(edges), store_records(chunks, sources, collections), ["path"],
-        at="created_at", born="born", died="died", nullable=(),
-    )
+    """(seq, etype, created_at, side, path, reason): the ends of valid edges that do not resolve.
+
+    Paths are matched by folder and name; the folder of a top name is null, and null folders only
+    meet null folders (``same``).
+    """
+    records = store_records(chunks, sources, collections).where(F.col("path").isNotNull())
+    ends = path_keys(edge_ends(edges)).drop("path")
+    found = find_orphans(ends, path_keys(records), ["folder", "name"], match="same", at="created_at", born="born", died="died")
+    return found.select("seq", "etype", "created_at", "side", F.concat_ws("/", "folder", "name").alias("path"), "reason")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

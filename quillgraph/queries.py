@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
+def p1_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Composite keys with partial nulls, under all four semantics: lines refer to part and supplier, of which some are unknown, and the pairs sold in quantity are the records."""
+    lines = table(spark, d, "lineitem")
+    part = F.when(F.col("l_linenumber") % 3 != 1, F.col("l_partkey")).alias("part")
+    supplier = F.when(F.col("l_linenumber") % 4 != 2, F.col("l_suppkey")).alias("supplier")
+    refs = lines.select("l_orderkey", "l_linenumber", "l_shipdate", part, supplier)
+    sold = lines.where(F.col("l_quantity") > 25).select(
+        F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") != 3, F.col("l_suppkey")).alias("supplier"), F.col("l_shipdate").alias("born"), F.when(F.col("l_tax") > 0.05, F.col("l_shipdate")).alias("died")
+    )
+    found = [orphans.find_orphans(refs, sold, ["part", "supplier"], match=m, at="l_shipdate", born="born", died="died").withColumn("match", F.lit(m)) for m in orphans.MATCHES]
+    return reduce(DataFrame.unionByName, found).select("match", "l_orderkey", "l_linenumber", "part", "supplier", "reason")
+
+
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(hierarchy.provenance_parents(table(spark, d, "edges")))
 
@@ -468,7 +483,7 @@ def stream_event_sessions(spark, d):
     return _streamed(spark, d, "events", ingest.sessions, "complete").withColumn("value", F.round("value", 6))
 
 
-_NOT = {"table", "corpus"}
+_NOT = {"table", "corpus", "reduce"}
 QUERIES = {
     n: f
     for n, f in list(globals().items())

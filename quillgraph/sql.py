@@ -33,6 +33,35 @@ SQL["p2_paths"] = _WALK + """SELECT node, array_to_string(list_reverse(up), ' >
 UNION ALL SELECT DISTINCT root, root FROM found WHERE up IS NOT NULL"""
 SQL["p2_descendants"] = _WALK + """SELECT up[i + 1] AS ancestor, node, i::INTEGER AS distance FROM found, unnest(range(1, len(up))) AS r(i) WHERE up IS NOT NULL"""
 
+SQL["p2_tree"] = (
+    _WALK
+    + """,
+ways AS (SELECT node, root, depth, list_reverse(up) AS way FROM found WHERE up IS NOT NULL UNION ALL SELECT DISTINCT root, root, 0, [root] FROM found WHERE up IS NOT NULL),
+below AS (SELECT above, count(*) AS n FROM (SELECT unnest(list_slice(way, 1, len(way) - 1)) AS above FROM ways) GROUP BY 1)
+SELECT w.node, p.parent, w.root, w.depth, row_number() OVER (ORDER BY way) - 1 AS pre, 1 + coalesce(n, 0) AS size, false AS cyclic
+FROM ways w LEFT JOIN p ON p.node = w.node LEFT JOIN below ON above = w.node
+UNION ALL SELECT f.node, p.parent, f.root, f.depth, NULL, NULL, true FROM found f JOIN p USING (node) WHERE up IS NULL"""
+)
+_PART, _SUPPLIER = "CASE WHEN l_linenumber % 3 <> 1 THEN l_partkey END", "CASE WHEN l_linenumber % 4 <> 2 THEN l_suppkey END"
+_REASON = "CASE WHEN n IS NULL THEN 'missing' WHEN live = 0 THEN 'deleted' WHEN first > l_shipdate THEN 'late' END"
+_STATE = "count(*) AS n, count(*) FILTER (died IS NULL) AS live, min(born) AS first FROM rec WHERE"
+SQL["p1_keys"] = f"""
+WITH refs AS (SELECT l_orderkey, l_linenumber, l_shipdate, {_PART} AS part, {_SUPPLIER} AS supplier FROM lineitem),
+rec AS (SELECT l_partkey AS part, CASE WHEN l_linenumber <> 3 THEN l_suppkey END AS supplier, l_shipdate AS born, CASE WHEN l_tax > 0.05 THEN l_shipdate END AS died FROM lineitem WHERE l_quantity > 25),
+b AS (SELECT part, supplier, {_STATE} part IS NOT NULL AND supplier IS NOT NULL GROUP BY ALL),
+q AS (SELECT part, {_STATE} part IS NOT NULL GROUP BY ALL), s AS (SELECT supplier, {_STATE} supplier IS NOT NULL GROUP BY ALL),
+q0 AS (SELECT part, {_STATE} part IS NOT NULL AND supplier IS NULL GROUP BY ALL), s0 AS (SELECT supplier, {_STATE} supplier IS NOT NULL AND part IS NULL GROUP BY ALL),
+z AS (SELECT nullif(count(*), 0) AS n, count(*) FILTER (died IS NULL) AS live, min(born) AS first FROM rec WHERE part IS NULL AND supplier IS NULL),
+whole AS (SELECT refs.*, {_REASON} AS reason FROM refs LEFT JOIN b USING (part, supplier) WHERE refs.part IS NOT NULL AND refs.supplier IS NOT NULL),
+o AS (SELECT unnest(['simple', 'partial', 'full', 'same']) AS match, * FROM whole
+UNION ALL SELECT 'full', *, 'partial' FROM refs WHERE (part IS NULL) <> (supplier IS NULL)
+UNION ALL SELECT 'partial', refs.*, {_REASON} FROM refs LEFT JOIN q USING (part) WHERE refs.supplier IS NULL AND refs.part IS NOT NULL
+UNION ALL SELECT 'partial', refs.*, {_REASON} FROM refs LEFT JOIN s USING (supplier) WHERE refs.part IS NULL AND refs.supplier IS NOT NULL
+UNION ALL SELECT 'same', refs.*, {_REASON} FROM refs LEFT JOIN q0 USING (part) WHERE refs.supplier IS NULL AND refs.part IS NOT NULL
+UNION ALL SELECT 'same', refs.*, {_REASON} FROM refs LEFT JOIN s0 USING (supplier) WHERE refs.part IS NULL AND refs.supplier IS NOT NULL
+UNION ALL SELECT 'same', refs.*, {_REASON} FROM refs, z WHERE refs.part IS NULL AND refs.supplier IS NULL)
+SELECT match, l_orderkey, l_linenumber, part, supplier, reason FROM o WHERE reason IS NOT NULL"""
+
 # the store's chunks: the latest version of each path, if it is not deleted
 _CORPUS = r"""
 corpus AS (SELECT path, coalesce(domain, CASE WHEN len(string_split(path, '/')) >= 3 THEN split_part(path, '/', 1) ELSE '' END) AS domain, content AS body, kind, stale, has_provenance, written_at FROM (

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -29,13 +30,17 @@ def check(spark, par):
         assert s == 1 + sum(sizes[c] for c, p in par.items() if p == n)
 
 
-def test_chain_cycles_and_hot_parent(spark):
+@pytest.mark.parametrize("last", [0, H.LAST])
+def test_chain_cycles_and_hot_parent(spark, monkeypatch, last):
+    monkeypatch.setattr(H, "LAST", last)
+    monkeypatch.setattr(H, "RANGE", 64)
+    monkeypatch.setattr(H.skew, "HOT_ROWS", 50)
     par = {f"c{i:02d}": f"c{i + 1:02d}" for i in range(40)} | {f"k{i}": "top" for i in range(200)}
     par |= {"x": "y", "y": "z", "z": "x", "t1": "t2", "t2": "y", "self": "self"}
     check(spark, par)
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(0, 30).map(str), st.integers(0, 30).map(str), min_size=1, max_size=30))
 def test_any_links(spark, par):
     check(spark, par)
@@ -49,7 +54,8 @@ def test_nulls_empty_and_repeats(spark):
     assert got == {("a", "r", "r", 1), ("r", None, "r", 0)}
 
 
-def test_sweep(spark):
+def test_sweep(spark, monkeypatch):
+    monkeypatch.setattr(H, "RANGE", 2)
     par = {"b": "a", "c": "b", "d": "b", "e": "a", "g": "f"}
     tree = H.hierarchy(spark.createDataFrame(list(par.items()), "node string, parent string"))
     assert {r.node: r.path for r in H.sweep(tree).collect()} == {"a": "a", "b": "a > b", "c": "a > b > c", "d": "a > b > d", "e": "a > e", "f": "f", "g": "f > g"}

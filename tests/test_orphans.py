@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from quillgraph.operators import orphans as O
+from quillgraph.operators import skew as S
 
 T = [datetime(2024, 1, d) for d in range(1, 10)]
 REFS = "id int, a string, b string, made timestamp"
@@ -24,6 +25,14 @@ def test_null_masks(spark):
     assert run(spark, refs, recs, match="simple") == [(6, "missing")]
     assert run(spark, refs, recs, match="partial") == [(2, "missing"), (4, "missing"), (6, "missing")]
     assert run(spark, refs, recs, match="full") == [(1, "partial"), (2, "partial"), (3, "partial"), (4, "partial"), (6, "missing")]
+    assert run(spark, refs, recs, match="same") == [(1, "missing"), (2, "missing"), (3, "missing"), (4, "missing"), (5, "missing"), (6, "missing")]
+    recs += [("x", None, T[3], None), (None, None, T[0], T[1])]
+    assert run(spark, refs, recs, match="same") == [(1, "late"), (2, "missing"), (3, "missing"), (4, "missing"), (5, "deleted"), (6, "missing")]
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("a/b/c",), ("c",), ("/c",), ("a/",), ("",)], "path string")
+    assert [(r.folder, r.name) for r in O.path_keys(df).collect()] == [("a/b", "c"), (None, "c"), ("", "c"), ("a", ""), (None, "")]
 
 
 def test_empty_repeats_and_clashing_names(spark):
@@ -36,12 +45,14 @@ def test_empty_repeats_and_clashing_names(spark):
 
 
 def test_hot_keys_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(O, "HOT_ROWS", 100)
+    monkeypatch.setattr(S, "HOT_ROWS", 100)
     refs = spark.range(1000).selectExpr("cast(id as int) id", "if(id % 3 = 0, 'hot', if(id % 3 = 1, 'gone', cast(id as string))) a", "'1' b", "timestamp'2024-01-02' made")
     recs = spark.createDataFrame([("hot", "1", T[0], T[1]), ("5", "1", T[0], None)], RECS)
     df = O.find_orphans(refs, recs, ["a", "b"], at="made", born="born", died="died")
     got = {r.reason: r["count"] for r in df.groupBy("reason").count().collect()}
     assert got == {"deleted": 334, "missing": 333 + 332}
+    by = refs.groupBy(O.F.xxhash64("a").alias("h")).agg(O.F.count("*").alias("n"))
+    assert sorted(n for _, n in S.hot_keys(by, 1000)) == [4, 4]  # salts follow the counts
 
 
 def test_edge_ends(spark):
