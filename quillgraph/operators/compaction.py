@@ -2,10 +2,10 @@
 
 1. Name: every file is led back to the chunk it was written for, whatever stray name it has.
 2. Repeats: files of one chunk whose bodies read the same are one record; the smallest id stays.
-3. Schedule: records are hashed into 64 buckets for each output group; the longest bucket goes first
-   to the least loaded group (a heap on the driver, at most 65,536 buckets). Inside a group that
-   becomes several files, records come longest first and each goes to the least loaded file.
-4. Write: one task a group streams its records through pyarrow, to a name of its own attempt.
+3. Schedule: records are hashed to tasks of some FILES output files. A task's records come longest
+   first, and each goes to the file with the least load so far (a heap).
+4. Write: the task streams its records through pyarrow to its files, as they come; it holds at most
+   BUFFER bytes a file, and never more than about 1.5 FILES files are open. Names carry the attempt.
 5. Publish: what was written is read back and must have the count, the bytes and the checksum of the
    records that went in; then the manifest appears under its final name in one rename.
 """
@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -27,48 +28,62 @@ from pyspark.sql import types as T
 
 from ..scratch import Table, delete, new_path
 
-#: Content bytes of an output file; groups that the driver schedules; buckets a group.
-TARGET_BYTES, MAX_GROUPS, BUCKETS = 96 << 20, 1024, 64
+#: Content bytes of an output file, at least so many where there is little content; files a task; bytes held for each.
+TARGET_BYTES, LEAST_BYTES, FILES, BUFFER = 96 << 20, 4 << 20, 8, 4 << 20
 #: Files without an id get one from here on.
 NAMELESS = 1 << 62
 
-#: What writers, editors and copies put before or behind a chunk's name (fixed values).
-STRAY_FOLDERS = r"^(?:\./|/|(?:_staging|_?lost\+found|retry-\d+|\.trash|tmp)/)+"
-STRAY_NAME = r"^((?:.*/)?)\.?([^/]*?)(?:-\d+~| ?\((?:copy|\d+)\)| copy)?\.txt(?:~|\.(?:bak|tmp|swp|orig|old|part))*$"
-#: A chunk's own path: an optional domain, the document, a numbered or a synthesis file.
-OWN_NAME = r"^(?:[^/_.][^/]*/)?[^/_.][^/]*/\d+\.txt$|(?:^|/)_[^/]*\.txt$"
-#: Front matter of a stored chunk; a block without a type is a part of the body.
-_LINE = r"(?:(?!---[ \t]*\r?\n)[^\n]*\n){0,60}?"
-FRONT = rf"^\uFEFF?---[ \t]*\r?\n{_LINE}type:[^\n]*\n{_LINE}---[ \t]*(?:\r?\n|$)"
+
+@dataclass(frozen=True)
+class Names:
+    """What tells the chunk of a file: patterns of stray folders, of a name with its stray parts ($1 folder, $2 stem),
+    of a chunk's own path, and of the domain in a source path; domains in ``plain`` have no folder of their own."""
+
+    folders: str = r"^(?:\./|/|(?:_staging|_?lost\+found|retry-\d+|\.trash|tmp)/)+"
+    name: str = r"^((?:.*/)?)\.?([^/]*?)(?:-\d+~| ?\((?:copy|\d+)\)| copy)?\.txt(?:~|\.(?:bak|tmp|swp|orig|old|part))*$"
+    own: str = r"^(?:[^/_.][^/]*/)?[^/_.][^/]*/\d+\.txt$|(?:^|/)_[^/]*\.txt$"
+    domain: str = r"^/[^/]*/[^/]*/([^/]+)/[^/]+$"
+    plain: tuple[str, ...] = ("inbox",)
+
+
+#: A block between two lines of three hyphens at the start, of any number of lines; possessive, so it is scanned once.
+BLOCK = r"^\uFEFF?---[ \t]*\r?\n(?:(?!---[ \t]*+(?:\r?\n|\z))[^\n]*+\n)*+---[ \t]*(?:\r?\n|\z)"
+
+
+def front_of(content: Column) -> Column:
+    """The front matter of a stored chunk, '' where there is none; a block without a type is a part of the body."""
+    block = F.regexp_extract(content, BLOCK, 0)
+    return F.when(block.rlike(r"(?m)^type:"), block).otherwise("")
 
 
 def body_of(content: Column) -> Column:
     """The content behind the front matter, if there is any."""
-    return F.regexp_replace(F.regexp_replace(content, FRONT, ""), r"^\uFEFF", "")
+    rest = F.substring(content, F.char_length(front_of(content)) + 1, F.char_length(content))
+    return F.regexp_replace(rest, r"^\uFEFF", "")
 
 
 def front_value(content: Column, key: str) -> Column:
     """A value of the front matter, '' where there is none."""
-    return F.trim(F.regexp_extract(F.regexp_extract(content, FRONT, 0), rf"(?m)^{key}:[ \t]*([^\r\n]*)", 1))
+    return F.trim(F.regexp_extract(front_of(content), rf"(?m)^{key}:[ \t]*([^\r\n]*)", 1))
 
 
-def chunk_path(path: Column, content: Column) -> Column:
+def chunk_path(path: Column, content: Column, names: Names = Names()) -> Column:
     """The path of the chunk a file was written for.
 
     Separators, stray folders and stray endings are undone. If that leaves no chunk name, the front
     matter's source and position tell it; if there is none either, the cleaned path stands.
     """
     p = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+", "/")
-    p = F.regexp_replace(F.regexp_replace(p, STRAY_FOLDERS, ""), STRAY_NAME, "$1$2.txt")
+    p = F.regexp_replace(F.regexp_replace(p, names.folders, ""), names.name, "$1$2.txt")
     src, pos = front_value(content, "source"), front_value(content, "position")
     parts = F.split(src, "/")
     stem = F.regexp_replace(F.lower(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")), r"[^a-z0-9._-]", "")
-    domain = F.regexp_extract(src, r"^/[^/]*/[^/]*/([^/]+)/[^/]+$", 1)
+    domain = F.regexp_extract(src, names.domain, 1)
     told = F.concat(
-        F.when((domain == "") | (domain == "inbox"), "").otherwise(F.concat(domain, F.lit("/"))),
+        F.when((domain == "") | domain.isin(*names.plain), "").otherwise(F.concat(domain, F.lit("/"))),
         stem, F.lit("/"), F.when(F.length(pos) < 2, F.lpad(pos, 2, "0")).otherwise(pos), F.lit(".txt"),
     )
-    return F.when(~p.rlike(OWN_NAME) & (src != "") & pos.rlike(r"^\d+$"), told).otherwise(p)
+    return F.when(~p.rlike(names.own), F.when((src != "") & pos.rlike(r"^\d+$"), told).otherwise(p)).otherwise(p)
 
 
 @F.pandas_udf(T.StringType())
@@ -87,10 +102,17 @@ def on_screen(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(b, r"^[ \t\n]*\n", ""), r"\s+$", "")
 
 
-def identify(files: DataFrame) -> DataFrame:
-    """(file_id, chunk_hash, body_hash) of each file with a body; the hashes are those of the chunk's path and of the body on screen."""
-    shown = files.select("file_id", chunk_path(F.col("path"), F.col("content")).alias("chunk"), on_screen(body_of(F.col("content"))).alias("shown"))
-    return shown.where(F.col("shown") != "").select("file_id", F.xxhash64("chunk").alias("chunk_hash"), F.unhex(F.sha2(F.concat_ws("\n", "chunk", "shown"), 256)).alias("body_hash"))
+def identify(files: DataFrame, names: Names = Names()) -> DataFrame:
+    """(file_id, chunk, size, sum, body_hash) of each file with a body: its chunk's path, content bytes, a checksum of
+    chunk and content, and a hash of chunk and body on screen."""
+    shown = files.select("file_id", "content", chunk_path(F.col("path"), F.col("content"), names).alias("chunk"), on_screen(body_of(F.col("content"))).alias("shown"))
+    return shown.where(F.col("shown") != "").select(
+        "file_id", "chunk", F.octet_length("content").cast("long").alias("size"), F.xxhash64("chunk", "content").alias("sum"), F.unhex(F.sha2(F.concat_ws("\n", "chunk", "shown"), 256)).alias("body_hash")
+    )
+
+
+#: Columns of an output file.
+_RECORD = "path string, content string, file_id long"
 
 
 class Compaction:
@@ -100,102 +122,82 @@ class Compaction:
         self.path, self.manifest, self.repeats = path, manifest, repeats
 
 
-def _schedule(sizes: list[tuple[int, int]], groups: int) -> dict[int, int]:
-    """Bucket to group, the longest bucket first to the least loaded group."""
-    heap = [(0, g) for g in range(groups)]
-    to = {}
-    for bucket, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, g = heapq.heappop(heap)
-        to[bucket] = g
-        heapq.heappush(heap, (load + size, g))
-    return to
+class _Balanced:
+    """Open output files, and the heap of their loads."""
+
+    def __init__(self, system, root: str, part: int, count: int):
+        import uuid
+
+        import pyarrow.parquet as pq
+
+        schema = pa.schema([("path", pa.string()), ("content", pa.string()), ("file_id", pa.int64())])
+        self.names = [f"part-{part:06d}-{k:02d}-{uuid.uuid4().hex[:12]}.parquet" for k in range(count)]
+        self.writers = [pq.ParquetWriter(f"{root}/{n}", schema, filesystem=system, compression="zstd") for n in self.names]
+        self.records, self.bytes = [0] * count, [0] * count
+        self.rows: list[list[pa.Table]] = [[] for _ in range(count)]
+        self.held = [0] * count
+        self.heap = [(0, k) for k in range(count)]
+
+    def put(self, rows: pa.Table, sizes: np.ndarray) -> None:
+        """Each record, longest first, to the least loaded file."""
+        to = np.zeros(len(sizes), np.int64)
+        if len(self.heap) > 1:
+            for i, s in enumerate(sizes.tolist()):
+                load, k = self.heap[0]
+                heapq.heapreplace(self.heap, (load + s, k))
+                to[i] = k
+        for k in np.unique(to).tolist():
+            mine = to == k
+            n = int(sizes[mine].sum())
+            self.rows[k].append(rows.filter(pa.array(mine)))
+            self.records[k] += int(mine.sum())
+            self.bytes[k] += n
+            self.held[k] += n
+            if self.held[k] >= BUFFER:
+                self.flush(k)
+
+    def flush(self, k: int) -> None:
+        if self.rows[k]:
+            self.writers[k].write_table(pa.concat_tables(self.rows[k]))
+            self.rows[k], self.held[k] = [], 0
+
+    def close(self) -> list[tuple[str, int, int]]:
+        for k, w in enumerate(self.writers):
+            self.flush(k)
+            w.close()
+        return list(zip(self.names, self.records, self.bytes))
 
 
 def _writer(out: str, files_of: dict[int, int]):
-    """Streams the records of a group to its files.
+    """Streams the records of a task to its files.
 
-    Rows come sorted by group, longest first, id and mark. A row without mark announces that the id
-    is a record; the first marked row behind it holds the record, all others are repeats.
+    Rows come longest first, then by id and mark. A row without mark announces a record: its id and
+    path. The marked row right behind it holds the record's content; all others are repeats.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        import pyarrow.compute as pc
         import pyarrow.fs as fs
-        import pyarrow.parquet as pq
+        from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(out)
-        system.create_dir(root, recursive=True)
-        schema = pa.schema([("path", pa.string()), ("content", pa.string()), ("file_id", pa.int64())])
-        now, open_ = None, {}
-
-        def close() -> list[tuple]:
-            made = []
-            for f in open_.values():
-                f["flush"]()
-                f["writer"].close()
-                made.append((f["name"], f["n"], f["bytes"]))
-            open_.clear()
-            return made
-
-        def start(g: int, k: int) -> dict:
-            f = {"name": f"part-{g:05d}-{k:03d}-{uuid.uuid4().hex[:12]}.parquet", "n": 0, "bytes": 0, "rows": [], "held": 0}
-            f["writer"] = pq.ParquetWriter(f"{root}/{f['name']}", schema, filesystem=system, compression="zstd")
-
-            def flush() -> None:
-                if f["rows"]:
-                    f["writer"].write_table(pa.concat_tables(f["rows"]))
-                    f["rows"], f["held"] = [], 0
-
-            f["flush"] = flush
-            return f
-
-        def put(f: dict, rows: pa.Table, n_bytes: int) -> None:
-            f["rows"].append(rows)
-            f["n"] += rows.num_rows
-            f["bytes"] += n_bytes
-            f["held"] += n_bytes
-            if f["held"] >= 16 << 20:
-                f["flush"]()
-
-        done, wanted = [], None
+        part, made = TaskContext.get().partitionId(), None
+        told_id, told_mark, told_path = None, 1, None  # of the row before
         for b in batches:
-            t = pa.Table.from_batches([b])
-            ids, marked = t["file_id"].to_numpy(), t["mark"].to_numpy()
-            keep = np.zeros(len(ids), bool)
-            for i, (id_, mark) in enumerate(zip(ids.tolist(), marked.tolist())):
-                if not mark:
-                    wanted = id_
-                elif id_ == wanted:
-                    keep[i], wanted = True, None
-            t = t.filter(pa.array(keep))
-            gs = t["grp"].to_numpy()
-            cuts = [0, *((gs[1:] != gs[:-1]).nonzero()[0] + 1).tolist(), len(gs)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                g = int(gs[lo])
-                if g != now:
-                    done += close()
-                    now = g
-                    open_.update({k: start(g, k) for k in range(files_of[g])})
-                    heap = [(0, k) for k in range(files_of[g])]
-                rows, size = t.slice(lo, hi - lo), t["size"].to_numpy()[lo:hi]
-                keep = rows.select(["path", "content", "file_id"]).cast(schema)
-                if len(heap) == 1:
-                    put(open_[0], keep, int(size.sum()))
-                    continue
-                to = []
-                for s in size:
-                    load, k = heap[0]
-                    heapq.heapreplace(heap, (load + int(s), k))
-                    to.append(k)
-                to = pa.array(to)
-                for k in set(to.to_pylist()):
-                    m = pc.equal(to, k)
-                    put(open_[k], keep.filter(m), int(size[m.to_numpy(zero_copy_only=False)].sum()))
-        done += close()
+            if not b.num_rows:
+                continue
+            ids, marks, paths, sizes = b["file_id"].to_numpy(), b["mark"].to_numpy(), b["path"], b["size"].to_numpy()
+            before_id = np.r_[told_id if told_id is not None else 0, ids[:-1]]
+            before = np.r_[told_mark, marks[:-1]]
+            keep = (marks == 1) & (before == 0) & (before_id == ids)
+            at = np.nonzero(keep)[0]
+            if len(at):
+                named = pa.concat_arrays([pa.array([told_path], pa.string()), paths.cast(pa.string())]).take(pa.array(at))  # the row before, one on
+                if made is None:
+                    system, root = fs.FileSystem.from_uri(out)
+                    system.create_dir(root, recursive=True)
+                    made = _Balanced(system, root, part, files_of[part])
+                made.put(pa.table({"path": named, "content": b["content"].take(pa.array(at)).cast(pa.string()), "file_id": pa.array(ids[at])}), sizes[at])
+            told_id, told_mark, told_path = int(ids[-1]), int(marks[-1]), paths[-1].as_py()
+        done = made.close() if made else []
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())],
             names=["file", "records", "content_bytes"],
@@ -212,7 +214,7 @@ def _checksum(df: DataFrame) -> tuple[int, int, int]:
     return tuple(r)
 
 
-def compact(files: DataFrame, out: str | None = None, *, target_bytes: int = TARGET_BYTES) -> Compaction:
+def compact(files: DataFrame, out: str | None = None, *, target_bytes: int = TARGET_BYTES, names: Names = Names()) -> Compaction:
     """Write every chunk record of ``files`` exactly once, in files of some ``target_bytes`` of content.
 
     ``files``: (file_id, path, content), extra columns are not read. A record is a chunk and a body
@@ -221,50 +223,47 @@ def compact(files: DataFrame, out: str | None = None, *, target_bytes: int = TAR
     record. Exact repeats of a row count once, files with a null id too; other rows must not share an
     id. An empty table makes an empty manifest. ``out``: a new folder, by default in the shared
     folder. The folder holds ``manifest.json`` only if all records are there; without it readers
-    must take the folder for unfinished.
+    must take the folder for unfinished. ``repeats`` are the files with a body that the published
+    files do not hold. Where there is little content, files are smaller, so that several tasks write.
     """
     spark = files.sparkSession
     out = out or new_path(spark, "compact")
-    named = files.select("file_id", "path", "content").where(F.col("file_id").isNotNull())
+    with_id = files.select("file_id", "path", "content").where(F.col("file_id").isNotNull())
     nameless = files.select("path", "content").where(F.col("file_id").isNull()).distinct()
     own = F.pmod(F.xxhash64("path", "content"), F.lit(NAMELESS >> 1)) + NAMELESS  # larger than real ids
-    files = named.unionByName(nameless.select(own.alias("file_id"), "path", "content"))
-    known = Table(identify(files), "files").df
-    kept = Table(known.groupBy("chunk_hash", "body_hash").agg(F.min("file_id").alias("file_id")).select("file_id"), "kept").df
-    repeats = known.select("file_id").where(F.col("file_id") < NAMELESS).join(kept, "file_id", "left_anti").distinct()
-
-    # the schedule needs sizes only; a bucket is a part of the ids, so that repeated rows share it
-    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
-    sized = Table(files.select("file_id", size.alias("size")).join(kept, "file_id", "left_semi").distinct(), "sizes").df
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, min(MAX_GROUPS, ceil(total / target_bytes)))
-    bucket = F.pmod(F.xxhash64("file_id"), F.lit(groups * BUCKETS)).cast("int").alias("bucket")
-    sizes = [(r.bucket, r.size) for r in sized.groupBy(bucket).agg(F.sum("size").alias("size")).collect()]
-    to = _schedule(sizes, groups)
-    load: dict[int, int] = {}
-    for b, s in sizes:
-        load[to[b]] = load.get(to[b], 0) + s
-    files_of = {g: max(1, ceil(n / target_bytes - 0.25)) for g, n in load.items()}
-    plan = F.broadcast(spark.createDataFrame(list(to.items()), "bucket int, grp int"))
-    # the records' contents move once: what is a record is told to the writers by rows of ids in the same order
-    rows = files.select("file_id", size.alias("size"), chunk_path(F.col("path"), F.col("content")).alias("path"), "content", F.lit(1).alias("mark"))
-    none = F.lit(None).cast("string")
-    told = sized.select("file_id", "size", none.alias("path"), none.alias("content"), F.lit(0).alias("mark"))
-    staged = rows.unionByName(told).withColumn("bucket", bucket).join(plan, "bucket").repartitionById(groups, "grp").sortWithinPartitions("grp", F.desc("size"), "file_id", "mark")
+    files = with_id.unionByName(nameless.select(own.alias("file_id"), "path", "content"))
+    known = Table(identify(files, names), "files")
+    kept = Table(known.df.groupBy("body_hash").agg(F.min(F.struct("file_id", "chunk", "size", "sum")).alias("r")).select("r.*"), "kept")
+
+    # the schedule: records to tasks by a hash of the id, of some FILES files each; one row a task reaches the driver
+    total, expected = kept.df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.struct(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bit_xor("sum"), F.lit(0)))).first()
+    tasks = max(1, ceil(total / (FILES * target_bytes)), min(spark.sparkContext.defaultParallelism, total // (2 * LEAST_BYTES)))
+    each = min(target_bytes, max(LEAST_BYTES, total // (2 * tasks)))
+    task = F.pmod(F.xxhash64("file_id"), F.lit(tasks)).cast("int").alias("task")  # repeated rows share it
+    large = F.col("size") >= each  # fills a file of its own
+    loads = kept.df.groupBy(task).agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("small"), F.count_if(large).alias("large"))
+    files_of = {r.task: max(1, round(r.small / each) + r.large) for r in loads.collect()}
+    # contents move once: what is a record, and its path, is told to the writers by rows of their own in the same order
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size")
+    rows = files.select("file_id", size, F.lit(None).cast("string").alias("path"), "content", F.lit(1).alias("mark"))
+    told = kept.df.select("file_id", "size", F.col("chunk").alias("path"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("mark"))
+    staged = rows.unionByName(told).withColumn("task", task).repartitionById(tasks, F.col("task")).sortWithinPartitions(F.desc("size"), "file_id", "mark")
     staging = f"{out}/data"
-    made = Table(staged.select("grp", "size", "file_id", "mark", "path", "content").mapInArrow(_writer(staging, files_of), "file string, records long, content_bytes long"), "made").df
+    made = Table(staged.select("size", "file_id", "mark", "path", "content").mapInArrow(_writer(staging, files_of), "file string, records long, content_bytes long"), "made").df
 
     # verify: a lost attempt may have left files that no row of ``made`` names
-    names = [r.file for r in made.select("file").collect()]
-    once = rows.select("file_id", "size", F.xxhash64("path", "content").alias("sum")).join(kept, "file_id", "left_semi").distinct()
-    expected = tuple(once.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bit_xor("sum"), F.lit(0))).first())
-    if names:
-        found = _checksum(spark.read.schema("path string, content string, file_id long").parquet(*(f"{staging}/{n}" for n in names)))
+    written = [r.file for r in made.select("file").collect()]  # one name a file
+    if written:
+        found = _checksum(spark.read.schema(_RECORD).parquet(*(f"{staging}/{n}" for n in written)))
         if tuple(found) != tuple(expected):
-            raise RuntimeError(f"the files hold {found}, the records are {expected}")
+            raise RuntimeError(f"the files hold {found}, the records are {tuple(expected)}")
     elif expected[0]:
         raise RuntimeError("nothing was written")
-    _publish(spark, out, {"records": expected[0], "content_bytes": expected[1], "checksum": expected[2], "files": sorted(names)})
+    _publish(spark, out, {"records": expected[0], "content_bytes": expected[1], "checksum": expected[2], "files": sorted(written)})
+    ids = read_compacted(spark, out).select("file_id")
+    repeats = Table(known.df.select("file_id").where(F.col("file_id") < NAMELESS).join(ids, "file_id", "left_anti").distinct(), "repeats").df
+    known.drop()
+    kept.drop()
     return Compaction(out, made, repeats)
 
 
@@ -286,5 +285,5 @@ def read_compacted(spark, out: str) -> DataFrame:
     """(path, content, file_id) of a published folder; only the files that its manifest names."""
     text = "".join(r.value for r in spark.read.text(f"{out}/manifest.json").collect())
     names = json.loads(text)["files"]
-    schema = "path string, content string, file_id long"
+    schema = _RECORD
     return spark.read.schema(schema).parquet(*(f"{out}/data/{n}" for n in names)) if names else spark.createDataFrame([], schema)

@@ -35,6 +35,7 @@ from pyspark.sql.window import Window
 from ..scratch import Table, release
 from . import skew
 from .edges import PROVENANCE, valid_edges
+from .prefix import prefix_sums
 
 #: Preorder numbers of a range: nodes that one task takes through a prefix sum or a sweep at once.
 RANGE = 100_000
@@ -179,41 +180,9 @@ def _sibling_offsets(tree: DataFrame) -> tuple[DataFrame, Table]:
 
     ``tree``: (id, pid, node, size); roots, whose pid is null, are each other's siblings.
     """
-    spark = tree.sparkSession
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        last, total, row = None, 0, 0
-        for b in batches:
-            if not len(b):
-                continue
-            k, top, n = b["key"].to_numpy(), b["top"].to_numpy(), b["size"].to_numpy()
-            first = np.r_[True, (k[1:] != k[:-1]) | (top[1:] != top[:-1])]
-            ends = np.cumsum(n)
-            starts = np.nonzero(first)[0]
-            base = np.repeat(ends[starts] - n[starts], np.diff(np.r_[starts, len(k)]))
-            before = ends - n - base
-            if last is not None and (top[0], k[0]) == last:
-                before[: starts[1] if len(starts) > 1 else len(k)] += total
-            yield pd.DataFrame({"part": part, "row": np.arange(row, row + len(k)), "id": b["id"], "top": top, "key": k, "before": before, "size": n})
-            last, total, row = (top[-1], k[-1]), int(before[-1] + n[-1]), row + len(k)
-
     rows = tree.select("id", F.col("pid").isNull().alias("top"), F.coalesce("pid", F.lit(0)).alias("key"), "node", "size")
-    spread = rows.repartitionByRange("top", "key", "node").sortWithinPartitions("top", "key", "node").select("id", "top", "key", "size")
-    t = Table(spread.mapInPandas(run, "part int, row long, id long, top boolean, key long, before long, size long"), "siblings")
-    key = F.struct("top", "key")
-    ends = t.df.groupBy("part").agg(F.min_by(key, "row").alias("lo"), F.max_by(key, "row").alias("hi"), F.max_by(F.col("before") + F.col("size"), "row").alias("tail"))
-    carry, hi, total = [], None, 0
-    for r in ends.orderBy("part").collect():  # one row a partition
-        carried = total if r.lo == hi else 0
-        carry.append((r.part, carried, r.lo.top, r.lo.key))
-        total = r.tail + (carried if r.lo == r.hi else 0)
-        hi = r.hi
-    low = F.broadcast(spark.createDataFrame(carry, "part int, carry long, lo_top boolean, lo long"))
-    offset = F.col("before") + F.when((F.col("key") == F.col("lo")) & (F.col("top") == F.col("lo_top")), F.col("carry")).otherwise(0)
-    return t.df.join(low, "part").select("id", F.when(~F.col("top"), F.col("key")).alias("pid"), "size", offset.alias("offset")), t
+    summed, t = prefix_sums(rows, ["top", "key"], ["node"], "size", ["id"])
+    return summed.select("id", F.when(~F.col("top"), F.col("key")).alias("pid"), "size", F.col("before").alias("offset")), t
 
 
 def _descend(offsets: DataFrame, gained: DataFrame) -> tuple[DataFrame, list[Table]]:

@@ -83,6 +83,12 @@ def p4_manifest(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compact(table(spark, d, "chunk_files")).manifest
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records that the published files hold, read through the manifest."""
+    c = compaction.compact(table(spark, d, "chunk_files"))
+    return compaction.read_compacted(spark, c.path).select("file_id", "path", F.md5("content").alias("content"))
+
+
 # the store's chunks, vectors and edges as the operators take them
 
 

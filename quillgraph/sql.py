@@ -300,10 +300,12 @@ SQL["config_effective"] = """
 SELECT trim(key) AS key, nullif(trim(arg_min(coalesce(value, '<none>'), ord)), '<none>') AS value FROM store_config WHERE key IS NOT NULL AND trim(key) <> '' AND NOT starts_with(trim(key), '#') GROUP BY 1"""
 
 # the chunk a file was written for, and its body as it reads on a screen
-SQL["p4_found"] = r"""
+_FILES = r"""
 WITH n AS (SELECT file_id, content, regexp_replace(regexp_replace(regexp_replace(replace(trim(path), chr(92), '/'), '/+', '/', 'g'), '^(?:\./|/|(?:_staging|_?lost\+found|retry-\d+|\.trash|tmp)/)+', ''),
   '^((?:.*/)?)\.?([^/]*?)(?:-\d+~| ?\((?:copy|\d+)\)| copy)?\.txt(?:~|\.(?:bak|tmp|swp|orig|old|part))*$', '\1\2.txt') AS chunk FROM chunk_files),
 b AS (SELECT file_id, chunk, regexp_replace(regexp_replace(content, '(?s)^\x{FEFF}?---[ \t]*\r?\ntype:.*?\n---[ \t]*(?:\r?\n|$)', ''), '^\x{FEFF}', '') AS body FROM n),
 s AS (SELECT file_id, chunk, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(body), '[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '[\x{00A0}\x{2007}\x{202F}]', ' ', 'g'),
-  '[ \t\r\f\v]+\n', chr(10), 'g'), '\r', chr(10), 'g'), '^[ \t\n]*\n|\s+$', '', 'g') AS shown FROM b)
-SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY chunk, shown) AS first FROM s WHERE shown <> '') WHERE file_id > first"""
+  '[ \t\r\f\v]+\n', chr(10), 'g'), '\r', chr(10), 'g'), '^[ \t\n]*\n|\s+$', '', 'g') AS shown FROM b)"""
+SQL["p4_found"] = _FILES + " SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY chunk, shown) AS first FROM s WHERE shown <> '') WHERE file_id > first"
+SQL["p4_records"] = _FILES + """
+SELECT r.file_id, r.chunk AS path, md5(f.content) AS content FROM (SELECT chunk, shown, min(file_id) AS file_id FROM s WHERE shown <> '' GROUP BY 1, 2) r JOIN chunk_files f USING (file_id)"""

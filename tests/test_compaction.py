@@ -55,7 +55,20 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert got == [] and c.manifest.count() == 0 and C.read_compacted(spark, c.path).count() == 0
 
 
-def test_groups_are_balanced_and_whole(spark):
+def test_longest_first_to_the_least_loaded(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    b = C._Balanced(fs.LocalFileSystem(), str(tmp_path), 0, 3)
+    sizes = np.array([9, 8, 7, 6, 5, 4, 3, 3])
+    text = pa.array([str(s) for s in sizes])
+    b.put(pa.table({"path": text, "content": text, "file_id": pa.array(range(8))}), sizes)
+    assert sorted(x[2] for x in b.close()) == [13, 16, 16]
+
+
+def test_groups_are_balanced_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(C, "LEAST_BYTES", 50_000)
     rows = [row(i, f"d{i}/01.txt", f"{i} " + "x" * (37 * i % 900)) for i in range(1, 1500)] + [row(5000, "big/01.txt", "y" * 300_000)]
     out = new_path(spark, "test")
     got, c = repeats(spark, rows, out=out, target_bytes=100_000)
@@ -64,7 +77,7 @@ def test_groups_are_balanced_and_whole(spark):
     m = json.loads(Path(out.removeprefix("file:").replace("//", "/") + "/manifest.json").read_text())
     assert m["records"] == 1500 and len(m["files"]) == c.manifest.count()
     sizes = sorted(r.content_bytes for r in c.manifest.collect())
-    assert sizes[-1] < 420_000 and sum(sizes) == m["content_bytes"]
+    assert sizes[-1] < 420_000 and sizes[-2] < 1.3 * sizes[1] and sum(sizes) == m["content_bytes"]
     with pytest.raises(RuntimeError):
         C._publish(spark, out, {})
 
@@ -73,3 +86,7 @@ def test_front_matter_needs_a_type(spark):
     df = spark.createDataFrame([("---\ntitle: x\n---\nbody",), (FRONT + "---\ntitle: x\n---\nbody",), ("---\n" + "a: b\n" * 20_000,)], "c string")
     assert [r[0] for r in df.select(C.body_of(F.col("c"))).limit(2).collect()] == ["---\ntitle: x\n---\nbody"] * 2
     assert df.select(C.on_screen(C.body_of(F.col("c")))).count() == 3
+    long = "---\n" + "".join(f"source_{i}: x\n" for i in range(3000)) + "type: summary\nposition: 4\n" + "a: b\n" * 9000 + "---\nbody"
+    df = spark.createDataFrame([(long,), (long.replace("---\nbody", "---"),), (long.replace("---\nbody", "--- x"),)], "c string")
+    assert [r[0][:9] for r in df.select(C.body_of(F.col("c"))).collect()] == ["body", "", "---\nsourc"]
+    assert df.select(C.front_value(F.col("c"), "position")).first()[0] == "4"
