@@ -3,8 +3,10 @@
 Only (id, size) rows move. They are hashed into groups of some GROUP documents; each group is packed
 on its own, so that the only loss of grouping is one open window a group. Within a group documents
 go best-fit decreasing, then a local search raises the sum of squared fills: documents move to
-fuller windows, and one is exchanged for one, two for one or one for two wherever that closes a
-window's gap, which empties the least filled windows.
+fuller windows, and underfull windows exchange documents, one for one, two for one or one for two,
+whenever that leaves the fuller of both fuller. Every change raises the sum, so the search ends by
+itself, when no window can give away a document and no exchange is left; windows that are emptied
+on the way vanish.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents a group, and rounds of local search (each ends by itself when nothing improves).
-GROUP, ROUNDS = 20_000, 4
+#: Documents a group.
+GROUP = 20_000
 
 
 class _Bins:
@@ -29,7 +31,7 @@ class _Bins:
         self.items: list[set[int]] = []
         self.fill: list[int] = []
         self.of = [-1] * len(sizes)
-        self.by_size: dict[int, set[int]] = {}
+        self.version: list[int] = []  # counts a bin's changes
         self.free: list[set[int]] = [set() for _ in range(capacity + 1)]  # bins by free space
         self.mask = 0  # bit f: some bin has f free
 
@@ -45,22 +47,23 @@ class _Bins:
     def add(self, i: int, b: int) -> None:
         s = int(self.sizes[i])
         self.items[b].add(i)
-        self.by_size.setdefault(s, set()).add(i)
         self.of[i] = b
         self._place(b, self.fill[b], self.fill[b] + s)
         self.fill[b] += s
+        self.version[b] += 1
 
     def take(self, i: int) -> int:
         b, s = self.of[i], int(self.sizes[i])
         self.items[b].discard(i)
-        self.by_size[s].discard(i)
         self._place(b, self.fill[b], self.fill[b] - s)
         self.fill[b] -= s
+        self.version[b] += 1
         return b
 
     def open(self) -> int:
         self.items.append(set())
         self.fill.append(0)
+        self.version.append(0)
         self._place(len(self.fill) - 1, -1, 0)
         return len(self.fill) - 1
 
@@ -75,76 +78,109 @@ class _Bins:
             m &= m - 1
         return -1
 
-    def pick(self, size: int, but: int, under: int) -> int:
-        """An item of the size in a bin other than ``but`` with less fill than ``under``; -1 if there is none."""
-        for n, i in enumerate(self.by_size.get(size, ())):
-            if n == 8:
-                return -1
-            b = self.of[i]
-            if b != but and self.fill[b] < under:
-                return i
-        return -1
+class _Offers:
+    """What the underfull bins could give, as it was when a round began: items, or pairs of items of one bin.
+
+    Sorted by size; of one size the emptiest bin comes first. An offer holds as long as its bin is unchanged.
+    """
+
+    def __init__(self, bins: _Bins, size: np.ndarray, bin_: np.ndarray, items: np.ndarray):
+        order = np.lexsort((np.array(bins.fill, np.int64)[bin_], size)) if len(size) else np.zeros(0, np.int64)
+        self.size, self.bin, self.items = size[order], bin_[order].tolist(), items[order]
+        self.sizes, first = np.unique(self.size, return_index=True)
+        self.first = np.r_[first, len(self.size)].tolist()
+        self.version = [bins.version[b] for b in self.bin]
+
+    def best(self, bins: _Bins, b: int, out: np.ndarray, gap: int) -> tuple[int, int, np.ndarray] | None:
+        """(gain, place in ``out``, items) of the offer larger than out[place] by the most, within the gap of b, from a bin that is less full than b becomes."""
+        if not len(self.sizes) or not len(out):
+            return None
+        high = np.searchsorted(self.sizes, out + gap, "right") - 1
+        gain = np.where(high >= 0, self.sizes[high] - out, 0)
+        found = None
+        for place in np.argsort(-gain, kind="stable").tolist():
+            if gain[place] <= (found[0] if found else 0):
+                break
+            at, own = int(high[place]), int(out[place])
+            while at >= 0 and self.sizes[at] - own > (found[0] if found else 0):
+                more = int(self.sizes[at]) - own
+                for k in range(self.first[at], self.first[at + 1]):
+                    a = self.bin[k]
+                    if bins.version[a] != self.version[k]:
+                        continue
+                    if bins.fill[a] >= bins.fill[b] + more:
+                        break  # all others of the size lie in fuller bins
+                    if a != b:
+                        found = (more, place, self.items[k])
+                        break
+                else:
+                    at -= 1
+                    continue
+                if found and found[0] == more:
+                    break
+                at -= 1
+        return found
+
+
+def _pairs(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pairs of the items, one of each sum."""
+    i, j = np.triu_indices(len(items), 1)
+    _, once = np.unique(sizes[items[i]] + sizes[items[j]], return_index=True)
+    return np.stack([items[i[once]], items[j[once]]], 1)
 
 
 def _improve(bins: _Bins) -> bool:
     """One round of local search; every change raises the sum of squared fills."""
     changed, sizes, cap = False, bins.sizes, bins.capacity
-    order = sorted((b for b, f in enumerate(bins.fill) if 0 < f < cap), key=lambda b: bins.fill[b])
-    for b in order:  # empty the least filled first: its items move to fuller bins
+    under = lambda: [b for b, f in enumerate(bins.fill) if 0 < f < cap]
+    for b in sorted(under(), key=lambda b: bins.fill[b]):  # empty the least filled first: its items move to fuller bins
         for i in sorted(bins.items[b], key=lambda i: -sizes[i]):
             to = bins.best_fit(int(sizes[i]), b)
             if to >= 0 and bins.fill[to] > bins.fill[b] - sizes[i]:
                 bins.take(i)
                 bins.add(i, to)
                 changed = True
-    for b in sorted((b for b, f in enumerate(bins.fill) if 0 < f < cap), key=lambda b: -bins.fill[b]):
-        gap = cap - bins.fill[b]
-        if not 0 < gap < cap:
-            continue
-        mine = list(bins.items[b])
-        swap: tuple[list[int], list[int]] | None = None
-        for y in mine:  # one for one
-            x = bins.pick(int(sizes[y]) + gap, b, bins.fill[b])
-            if x >= 0:
-                swap = ([y], [x])
-                break
-        if swap is None:  # two of this bin for one
-            for n, y in enumerate(mine):
-                for z in mine[n + 1 :]:
-                    x = bins.pick(int(sizes[y] + sizes[z]) + gap, b, bins.fill[b])
-                    if x >= 0:
-                        swap = ([y, z], [x])
-                        break
-                if swap:
-                    break
-        if swap is None and gap > 1:  # one of this bin for two of another
-            for y in mine:
-                want = int(sizes[y]) + gap
-                for a in order[:32]:
-                    if a == b or not 0 < bins.fill[a] < bins.fill[b]:
-                        continue
-                    there = {int(sizes[i]): i for i in bins.items[a]}
-                    pair = next(((i, there[want - s]) for s, i in there.items() if want - s in there and there[want - s] != i), None)
-                    if pair:
-                        swap = ([y], list(pair))
-                        break
-                if swap:
+    open_ = under()
+    of = [sorted(bins.items[b]) for b in open_]
+    items = np.array([i for x in of for i in x], np.int64)
+    where = np.repeat(np.array(open_, np.int64), [len(x) for x in of])
+    singles = _Offers(bins, sizes[items], where, items[:, None])
+    pair, place = [], []
+    for b, x in zip(open_, of):
+        if len(x) > 1:
+            pair.append(_pairs(np.array(x), sizes))
+            place.append(np.full(len(pair[-1]), b, np.int64))
+    pairs = np.concatenate(pair) if pair else np.zeros((0, 2), np.int64)
+    doubles = _Offers(bins, sizes[pairs].sum(1), np.concatenate(place) if place else np.zeros(0, np.int64), pairs)
+    for b in sorted(open_, key=lambda b: -bins.fill[b]):
+        while 0 < bins.fill[b] < cap:
+            gap = cap - bins.fill[b]
+            mine = np.array(sorted(bins.items[b]))
+            _, once = np.unique(sizes[mine], return_index=True)
+            one, two = mine[once][:, None], _pairs(mine, sizes)
+            trials = [(one, singles), (two, singles), (one, doubles)]
+            best, swap = 0, None
+            for out, offers in trials:
+                got = offers.best(bins, b, sizes[out].sum(1), gap)
+                if got and got[0] > best:
+                    best, swap = got[0], (out[got[1]].tolist(), got[2].tolist())
+                if best == gap:
                     break
-        if swap:
-            out, back = swap
-            a = bins.of[back[0]]
-            for i in out:
+            if swap is None:
+                break
+            a = bins.of[swap[1][0]]
+            for i in swap[0]:
                 bins.take(i)
-            for i in back:
+            for i in swap[1]:
                 bins.take(i)
                 bins.add(i, b)
-            for i in out:
+            for i in swap[0]:
                 bins.add(i, a)
             changed = True
     return changed
 
 
-def pack(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each item. Items are 0..capacity; those of size 0 go to window 0."""
     bins = _Bins(sizes, capacity)
     for i in np.argsort(-sizes, kind="stable").tolist():
@@ -152,9 +188,8 @@ def pack(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
             break
         b = bins.best_fit(int(sizes[i]))
         bins.add(i, bins.open() if b < 0 else b)
-    for _ in range(rounds):
-        if not _improve(bins):
-            break
+    while _improve(bins):
+        pass
     used = {b: n for n, b in enumerate(b for b, f in enumerate(bins.fill) if f)}
     return np.array([used.get(b, 0) for b in bins.of], np.int64)
 
@@ -190,7 +225,9 @@ def pack_documents(documents: DataFrame, capacity: int, size: Column, *, id: str
         columns = [pa.array(window), ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(stop), pa.array(n[at].astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, names=["window", "doc_id", "piece", "token_from", "token_to", "pieces"])
 
-    spread = items.repartition(groups, F.xxhash64(F.lit(6), "doc_id"))
+    # rows without an id are spread by their place in the input
+    where = F.pmod(F.xxhash64(F.lit(6), F.coalesce(F.col("doc_id"), F.monotonically_increasing_id())), F.lit(groups)).cast("int")
+    spread = items.withColumn("_group", where).repartitionById(groups, F.col("_group")).drop("_group")
     return spread.mapInArrow(run, "window long, doc_id long, piece int, token_from long, token_to long, pieces int")
 
 
@@ -205,3 +242,23 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
         F.coalesce(tokens, F.lit(0)).alias("tokens"),
         F.round(F.coalesce(F.try_divide(tokens, windows * capacity), F.lit(0.0)), 4).alias("fill"),
     )
+
+
+def packing_check(packed: DataFrame, capacity: int) -> DataFrame:
+    """(documents, tokens, split_documents, over, broken, whole, full), one row: what a packing must keep.
+
+    over: windows beyond the capacity; broken: pieces that do not begin where the one before ends;
+    whole: documents of at most the capacity that are split; full: whether no more windows are used
+    than the tokens need, but for one in a hundred and one a group.
+    """
+    w = packed.groupBy("window").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"))
+    windows = w.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("used") > capacity).alias("over"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"))
+    first = F.col("piece") == 0
+    start = F.when(F.col("pieces") > 1, F.col("piece") * F.lit(capacity)).otherwise(0)
+    docs = packed.agg(
+        F.count_if(first).alias("documents"), F.count_if(first & (F.col("pieces") > 1)).alias("split_documents"), F.count_if(F.col("token_from") != start).alias("broken"),
+        F.count_if((F.col("piece") == 1) & (F.col("piece") == F.col("pieces") - 1) & (F.col("token_to") <= capacity)).alias("whole"),
+    )
+    need = F.ceil(F.col("tokens") / capacity)
+    full = F.col("windows") <= need * 1.01 + 1 + F.col("documents") / (GROUP / 4)
+    return docs.join(F.broadcast(windows)).select("documents", "tokens", "split_documents", "over", "broken", "whole", full.alias("full"))

@@ -41,13 +41,20 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces must keep, by source: put together they are the source, none is over the size, neighbours share the overlap."""
+    c = config.read(spark, d)
+    return split.split_check(_pieces(spark, d, True), int(c["general.chunk_size"]), int(c["general.chunk_overlap"]))
+
+
 def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     capacity = int(config.read(spark, d)["llm.max_context"])
     return packing.pack_documents(_table(spark, d, "documents"), capacity, _size()), capacity
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _windows(spark, d)[0].where(F.col("pieces") > 1).select("doc_id").distinct()
+    """The documents that the packing has in more than one window."""
+    return _windows(spark, d)[0].where(F.col("piece") > 0).select("doc_id").distinct()
 
 
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -58,18 +65,31 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(*_windows(spark, d))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing must keep, in one row."""
+    return packing.packing_check(*_windows(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(_table(spark, d, "documents"), _table(spark, d, "source_weights"), _size())
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = mixing.plan_mixture(_table(spark, d, "documents"), _table(spark, d, "source_weights"), _size())
-    return plan.where(~F.col("feasible")).select("source")
+    """The sources that stay below their budget in the mix itself."""
+    return mixing.short_sources(*_mixture(spark, d))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "source_weights"), _size())
+    return _mixture(spark, d)[1]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    docs, weights = _table(spark, d, "documents"), _table(spark, d, "source_weights")
-    return mixing.mixture_report(mixing.plan_mixture(docs, weights, _size()), mixing.mix(docs, weights, _size()))
+    return mixing.mixture_report(*_mixture(spark, d))
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix must keep, by source."""
+    return mixing.mixture_check(*_mixture(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +103,6 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_neighbors, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_composition,
+        p3_found, p3_neighbors, p5_found, p5_pieces, p5_check, p6_found, p6_windows, p6_fill, p6_check, p7_found, p7_mix, p7_shares, p7_check, p8_found, p8_composition,
     )
 }

