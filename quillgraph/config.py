@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Default settings of a new store (fixed values).
+#: Default settings of a new store (fixed values, but for the two weights, which have an effect here: equal ones are plain rank fusion).
 DEFAULTS = {
     "general.chunk_strategy": "heading",
     "general.chunk_size": "1000",
     "general.chunk_overlap": "100",
     "embedding.provider": "none",
-    "embedding.model": "",
+    "embedding.model": "text-embedding-3-small",
     "embedding.dimensions": "1536",
     "llm.provider": "none",
-    "llm.model": "",
+    "llm.model": "gpt-4o-mini",
     "llm.max_context": "8000",
     "search.default_mode": "hybrid",
     "search.top_k": "10",
+    "search.keyword_weight": "0.5",
+    "search.vector_weight": "0.5",
     "search.rerank": "false",
+    "search.rerank_model": "cross-encoder/ms-marco-MiniLM-L-6-v2",
     "search.hyde": "false",
     "search.crag": "false",
     "search.crag_max_retries": "1",
-    "search.synthesis_boost": "1.2",
     "edges.auto_relate": "false",
     "edges.relate_threshold": "0.8",
     "edges.record_queries": "false",
     "synthesis.enabled": "false",
-    "synthesis.on_query": "false",
+    "synthesis.on_ingest": "summary,entities",
+    "synthesis.on_query": "off",
+    "synthesis.on_relate": "clusters",
+    "synthesis.synthesis_boost": "1.2",
 }
 
 

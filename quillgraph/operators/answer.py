@@ -53,11 +53,11 @@ def reformulate(question: str, missing: str, llm: LLM) -> str:
 
 def ask(
     question: str, chunks: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, *, llm: LLM | None = None, embed: Callable[[str], list[float]] | None = None,
-    crag: bool = False, max_retries: int = 1, top: int = 10, max_context: int = 8000, domain: str = "", template: str | None = None, scorer=None,
+    crag: bool = False, max_retries: int = 1, top: int = 10, max_context: int = 8000, domain: str = "", template: str | None = None, how: dict | None = None,
 ) -> Answer:
     """Answer a question; each round is one plan, at most 1 + max_retries rounds.
 
-    Without a model the answer is None and the context stands for itself. Errors of the model are
+    ``how``: further settings of the search, as a stored index. Without a model the answer is None and the context stands for itself. Errors of the model are
     raised, not hidden.
     """
     spark = chunks.sparkSession
@@ -66,7 +66,7 @@ def ask(
         attempt += 1
         vec = embed(query) if embed else None
         row = spark.createDataFrame([(0, query, vec)], "query_id int, query string, vec array<float>")
-        hits = search.search(chunks, vectors if vec else None, row, "hybrid", top=top, domain=domain, scorer=scorer)
+        hits = search.search(chunks, vectors if vec else None, row, "hybrid", top=top, domain=domain, **(how or {}))
         now = hits.select(F.lit(attempt).alias("attempt"), "rank", "path", "score")
         # a handful of rows, kept so that the next round does not search again
         now = spark.createDataFrame(now.collect(), now.schema)

@@ -6,13 +6,18 @@ one join of the terms with the postings. The corpus statistics are one row, its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..scratch import Table
+from . import skew
 
 #: Saturation and length norm of BM25 (fixed values).
 K1, B = 1.2, 0.75
@@ -73,36 +78,130 @@ def top(scored: DataFrame, k: int | None, by: Sequence[str] = ("query_id",)) ->
 
 
 def search(
-    chunks: DataFrame, queries: DataFrame, k: int | None = 50, *, domain: str = "", stats_scope: str = "global",
-    boost: float = 1.0, stale_penalty: float = 1.0, index: DataFrame | None = None,
+    chunks: DataFrame | None, queries: DataFrame, k: int | None = 50, *, domain: str = "", stats_scope: str = "global",
+    boost: float = 1.0, stale_penalty: float = 1.0, index: DataFrame | None = None, stats: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, path, score, rank): BM25 over chunks (path, body[, kind, stale]) for queries (query_id, query).
 
     ``domain`` keeps paths below it; with ``stats_scope`` 'domain' it also limits the statistics.
-    ``index``: ready postings of the chunks. Blank bodies are no documents; blank queries and terms
-    that no chunk has give no rows.
+    ``index`` and ``stats``: stored postings and document stats, with which the chunks are not read.
+    Blank bodies are no documents; blank queries and terms that no chunk has give no rows. For a few
+    short queries; for many or long ones take ``search_many``.
     """
+    terms = query_terms(queries)
+    hits, df, stats_in, whole = _hits(chunks, terms, domain, stats_scope, index, stats)
+    rows = terms.join(hits, "term").join(df, "term").join(stats_in, "path").join(F.broadcast(whole))
+    part = F.col("weight") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))
+    extra = [c for c in ("kind", "stale") if c in stats_in.columns]
+    scored = rows.groupBy("query_id", "path", *extra).agg(F.sum(part).alias("score"))
+    if extra and (boost != 1 or stale_penalty != 1):
+        scored = scored.withColumn("score", boosted(F.col("score"), boost, stale_penalty))
+    return top(scored.select("query_id", "path", "score"), k)
+
+
+def _hits(chunks: DataFrame | None, terms: DataFrame, domain: str, stats_scope: str, index: DataFrame | None, stats: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings of the query terms, their document frequencies, stats of the documents searched, corpus stats)."""
     if stats_scope not in ("global", "domain"):
         raise ValueError("stats_scope is 'global' or 'domain'")
+    if chunks is None and (index is None or stats is None):
+        raise ValueError("chunks, or both index and stats")
     inside = F.col("path").startswith(f"{domain}/") if domain else F.lit(True)
-    if stats_scope == "domain":
-        chunks = chunks.where(inside)
-    terms = query_terms(queries)
     index = postings(chunks) if index is None else index
+    stats = document_stats(chunks) if stats is None else stats
+    if stats_scope == "domain":
+        index, stats = index.where(inside), stats.where(inside)
     hits = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = document_frequency(hits)
-    stats = document_stats(chunks)
-    if domain:
-        hits, stats_in = hits.where(inside), stats.where(inside)
-    else:
-        stats_in = stats
-    rows = terms.join(hits, "term").join(df, "term").join(stats_in, "path").join(F.broadcast(corpus_stats(stats)))
-    part = F.col("weight") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))
-    extra = [c for c in ("kind", "stale") if c in chunks.columns]
-    scored = rows.groupBy("query_id", "path", *extra).agg(F.sum(part).alias("score"))
+    return hits.where(inside), df, stats.where(inside), corpus_stats(stats)
+
+
+#: Documents and queries of a block of ``search_many``.
+DOCUMENTS, QUERIES = 16_384, 2_048
+
+
+def search_many(
+    chunks: DataFrame | None, queries: DataFrame, k: int = 10, *, domain: str = "", stats_scope: str = "global",
+    boost: float = 1.0, stale_penalty: float = 1.0, index: DataFrame | None = None, stats: DataFrame | None = None,
+) -> DataFrame:
+    """``search`` for many or long queries, a stated set that is compared with all documents in blocks.
+
+    A word that all texts have would make a row for every query and document, so they are not joined:
+    each block of documents meets each block of queries in a task, which adds up the impacts of the
+    terms (idf x saturation, by hot-key joins) in an array and passes on only the k best documents of
+    a query, and those that tie with the last after rounding.
+    """
+    terms = Table(query_terms(queries), "terms").df
+    hits, df, stats_in, whole = _hits(chunks, terms, domain, stats_scope, index, stats)
+    hits = Table(hits, "hits").df
+    df = Table(document_frequency(hits) if not domain or stats_scope == "domain" else df, "df").df
+    n = hits.count()
+    hot = skew.hot_keys(df.select(F.xxhash64("term").alias("h"), F.col("df").alias("n")), n)
+    impact = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))
+    extra = [c for c in ("kind", "stale") if c in stats_in.columns]
     if extra and (boost != 1 or stale_penalty != 1):
-        scored = scored.withColumn("score", boosted(F.col("score"), boost, stale_penalty))
-    return top(scored.select("query_id", "path", "score"), k)
+        impact = boosted(impact, boost, stale_penalty)
+    rows = skew.spread_join(hits, df, ["term"], hot, row=["path"]).join(stats_in, "path").join(F.broadcast(whole)).select("term", "path", impact.alias("w"))
+    sizes = stats_in.agg(F.count(F.lit(1)).alias("d")).crossJoin(terms.agg(F.count_distinct("query_id").alias("q"))).first()  # two numbers
+    d_blocks, q_blocks = max(1, -(-sizes.d // DOCUMENTS)), max(1, -(-sizes.q // QUERIES))
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    block = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None)
+    docs = rows.select(block("path", d_blocks).alias("db"), every(q_blocks).alias("qb"), F.lit(1).alias("side"), "term", none.cast(id_type).alias("query_id"), "path", "w")
+    asked = terms.select(every(d_blocks).alias("db"), block("query_id", q_blocks).alias("qb"), F.lit(0).alias("side"), "term", "query_id", none.cast("string").alias("path"), F.col("weight").cast("double").alias("w"))
+    key = (F.col("db") * q_blocks + F.col("qb")).alias("key")
+    dealt = asked.unionByName(docs).select(key, "side", "term", "query_id", "path", "w").repartitionById(d_blocks * q_blocks, F.col("key")).sortWithinPartitions("side")
+    local = dealt.mapInArrow(_block_scores(k), f"query_id {id_type}, path string, score double")
+    return top(local, k)
+
+
+def _block_scores(k: int):
+    """The k best documents of a block for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        q, d = t.filter(pc.equal(t["side"], 0)), t.filter(pc.equal(t["side"], 1))
+        if not q.num_rows or not d.num_rows:
+            return
+        words = d["term"].combine_chunks().dictionary_encode()
+        term = words.indices.to_numpy()
+        paths = d["path"].combine_chunks().dictionary_encode()
+        order = np.argsort(term, kind="stable")
+        doc, w = paths.indices.to_numpy()[order], d["w"].to_numpy()[order]
+        start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(words.dictionary)))]
+        ids = q["query_id"].combine_chunks().dictionary_encode()
+        asked = ids.indices.to_numpy()
+        at = pc.index_in(q["term"].combine_chunks(), words.dictionary)
+        there = np.nonzero(at.is_valid().to_numpy(zero_copy_only=False))[0]
+        at, asked, weight = at.fill_null(0).to_numpy()[there], asked[there], q["w"].to_numpy()[there]
+        by = np.argsort(asked, kind="stable")
+        out_q, out_d, out_s = [], [], []
+        n = len(paths.dictionary)
+        ends = np.r_[np.nonzero(np.diff(asked[by]))[0] + 1, len(by)]
+        lo = 0
+        for hi in ends.tolist():
+            mine = by[lo:hi]
+            lo = hi
+            if not len(mine):
+                continue
+            score = np.zeros(n)
+            for i in mine.tolist():
+                a, b = start[at[i]], start[at[i] + 1]
+                score[doc[a:b]] += weight[i] * w[a:b]
+            floor = np.partition(score, -k)[-k] - 1e-6 if n > k else 0
+            best = np.nonzero((score > 0) & (score >= floor))[0]
+            out_q.append(np.full(len(best), asked[mine[0]]))
+            out_d.append(best)
+            out_s.append(score[best])
+        if out_q:
+            yield pa.RecordBatch.from_arrays(
+                [ids.dictionary.take(pa.array(np.concatenate(out_q))), paths.dictionary.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "path", "score"]
+            )
+
+    return run
 
 
 def _scan(chunks: DataFrame, query: str) -> tuple[DataFrame, list[str]]:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..scratch import Table
 from . import bm25, fuse, vector
 
+#: What a model is asked for in place of a query.
+HYDE = "You write a short passage that would answer the question, as it might stand in a document."
 MODES = ("keyword", "vector", "hybrid")
 
 
@@ -48,8 +51,9 @@ def hyde(queries: DataFrame, cache: DataFrame, write: Callable[[str], str] | Non
 
 
 def search(
-    chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, mode: str = "hybrid", *, top: int = 10, domain: str = "",
+    chunks: DataFrame | None, vectors: DataFrame | None, queries: DataFrame, mode: str = "hybrid", *, top: int = 10, domain: str = "",
     boost: float = 1.2, stale_penalty: float = 0.5, scorer=None, keyword_only_candidates: bool = True, weights: tuple[float, float] = (1.0, 1.0),
+    index: DataFrame | None = None, stats: DataFrame | None = None, many: bool = False,
 ) -> DataFrame:
     """(query_id, path, score, rank, explain): the best ``top`` chunks for each query.
 
@@ -57,26 +61,34 @@ def search(
     (query_id, query, vec), vec only for the vector arm. Hybrid takes 3 x top keyword hits, the 3 x
     top nearest vectors among these (among all for queries without a hit, or if
     ``keyword_only_candidates`` is false), fuses both by rank, and reranks if there is a scorer.
-    Without vectors every mode but keyword falls back to keyword.
+    Without vectors every mode but keyword falls back to keyword. ``index`` and ``stats``: stored
+    postings and document stats, with which the chunks are read by a scorer only. ``many``: for many
+    or long queries. The lists of both arms are made once and kept in tables.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     by = ["query_id"]
+
+    def keyword(k: int) -> DataFrame:
+        find = bm25.search_many if many else bm25.search
+        return find(chunks, queries.select("query_id", "query"), k, domain=domain, boost=boost, stale_penalty=stale_penalty, index=index, stats=stats)
+
     if mode == "keyword" or vectors is None:
-        hits = bm25.search(chunks, queries.select("query_id", "query"), top, domain=domain, boost=boost, stale_penalty=stale_penalty)
+        hits = keyword(top)
         return fuse.explain(hits, {"bm25": hits}, by)
     asked = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
     near = vectors.where(F.col("domain") == domain) if domain else vectors
     if mode == "vector":
         hits = vector.knn(near, asked, top)
         return fuse.explain(hits, {"vector": hits}, by)
-    words = bm25.search(chunks, queries.select("query_id", "query"), 3 * top, domain=domain, boost=boost, stale_penalty=stale_penalty)
+    words = Table(keyword(3 * top), "words").df
     if keyword_only_candidates:
         among = vector.knn(near, asked, 3 * top, candidates=words.select("query_id", "path"))
-        lost = asked.join(words.select("query_id").distinct(), "query_id", "left_anti")
-        meaning = among.unionByName(vector.knn(near, lost, 3 * top))
+        lost = Table(asked.join(words.select("query_id").distinct(), "query_id", "left_anti"), "lost").df
+        meaning = among if lost.isEmpty() else among.unionByName(vector.knn(near, lost, 3 * top))
     else:
         meaning = vector.knn(near, asked, 3 * top)
+    meaning = Table(meaning, "meaning").df
     fused = fuse.rrf([words, meaning], weights=weights, top=top, by=by)
     parts = {"bm25": words, "vector": meaning, "rrf": fused}
     if scorer is not None:

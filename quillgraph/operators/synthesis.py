@@ -97,10 +97,11 @@ _ENTITIES = "You list the entities in a text as a JSON list of objects with name
 _CLUSTER = "You write what related chunks have in common. If some contradict the others, end with a line CONTRADICTS: and their paths."
 
 
-def document_nodes(chunks: DataFrame, llm: Callable[[str, str], str]) -> DataFrame:
+def document_nodes(chunks: DataFrame, llm: Callable[[str, str], str], parts: tuple[str, ...] = ("summary", "entities")) -> DataFrame:
     """(path, kind, body, sources, source_hashes): a summary and the entities of each document (path, doc_path, position, body).
 
-    The model reads a document's chunks in order; a document is one row of work. Blank answers make no node.
+    The model reads a document's chunks in order; a document is one row of work. Blank answers make
+    no node. ``parts``: which of both are made.
     """
     part = F.struct("position", "path", "body")
     docs = chunks.where(X.has_body("body")).groupBy("doc_path").agg(F.array_sort(F.collect_list(part)).alias("c"))
@@ -108,8 +109,9 @@ def document_nodes(chunks: DataFrame, llm: Callable[[str, str], str]) -> DataFra
         "doc_path", F.array_join(F.transform("c", lambda x: x["body"]), "\n\n").alias("text"), F.transform("c", lambda x: x["path"]).alias("sources"),
         F.transform("c", lambda x: X.content_hash(x["body"])).alias("source_hashes"),
     )
+    none = F.lit(None).cast("string")
     ask = lambda system: F.udf(lambda text: llm(system, text), "string")
-    told = docs.select("doc_path", "sources", "source_hashes", ask(_SUMMARY)("text").alias("summary"), ask(_ENTITIES)("text").alias("raw"))
+    told = docs.select("doc_path", "sources", "source_hashes", (ask(_SUMMARY)("text") if "summary" in parts else none).alias("summary"), (ask(_ENTITIES)("text") if "entities" in parts else none).alias("raw"))
     summary = told.select(F.concat("doc_path", F.lit("/_summary.txt")).alias("path"), F.lit("summary").alias("kind"), F.col("summary").alias("body"), "sources", "source_hashes")
     each = told.select("doc_path", "sources", "source_hashes", F.explode(parse_entities("raw")).alias("e"))
     entity = each.select(entity_path(F.col("doc_path"), F.col("e.type"), F.col("e.name")).alias("path"), F.col("e.type").alias("kind"), F.coalesce("e.description", F.lit("")).alias("body"), "sources", "source_hashes")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..scratch import Table
+
 #: Added to a norm before dividing, so that zero vectors score 0 (fixed value).
 TINY = 1e-10
 
@@ -33,8 +35,8 @@ def knn(
 ) -> DataFrame:
     """(query_id, path, score, rank): the k vectors of highest cosine for each query, exactly.
 
-    ``vectors``: (path, vec[, domain]); ``queries``: (query_id, vec), a stated set that is sent to all
-    tasks in blocks of ``block`` rows, so it must be small against the vectors. ``candidates``: paths
+    ``vectors``: (path, vec[, domain]); ``queries``: (query_id, vec), a stated set. Each block of
+    queries meets each part of the vectors in a task of its own; vectors of other lengths are no matches. ``candidates``: paths
     to which the search is limited, by (path) or by (query_id, path). Ties go to the smaller path.
     """
     if domain is not None:
@@ -47,40 +49,52 @@ def knn(
         return _rank(scored, k)
     held = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
     id_type = held.schema["query_id"].dataType.simpleString()
-    parts = []
-    rows = held.toPandas()  # the stated query set
-    for at in range(0, len(rows), block):
-        part = rows.iloc[at : at + block]
-        q = np.stack([np.asarray(v, np.float64) for v in part["vec"]])
-        unit = q / (np.linalg.norm(q, axis=1, keepdims=True) + TINY)
-        shared = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), unit))
-        parts.append(vectors.select("path", "vec").where(F.size("vec") == q.shape[1]).mapInPandas(_local_top(shared, k), f"query_id {id_type}, path string, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query_id {id_type}, path string, score double, rank int")
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return _rank(all_.withColumn("score", F.round("score", 6)), k)
-
-
-def _local_top(shared, k: int):
-    """Keeps a partition's k best of each query, and all that tie with the last after rounding."""
+    asked = Table(held, "asked").df  # the stated query set
+    blocks = max(1, math.ceil(asked.count() / block))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(F.lit(4), c), F.lit(n)).cast("int")
+    single = F.col("vec").cast("array<float>").alias("vec")
+    q = asked.select(every(parts).alias("part"), of("query_id", blocks).alias("block"), F.lit(0).alias("side"), "query_id", F.lit(None).cast("string").alias("path"), single)
+    v = vectors.where(F.col("vec").isNotNull()).select(of("path", parts).alias("part"), every(blocks).alias("block"), F.lit(1).alias("side"), F.lit(None).cast(id_type).alias("query_id"), "path", single)
+    key = (F.col("part") * blocks + F.col("block")).alias("key")
+    dealt = q.unionByName(v).select(key, "side", "query_id", "path", "vec").repartitionById(parts * blocks, F.col("key")).sortWithinPartitions("side")
+    local = dealt.mapInPandas(_local_top(k), f"query_id {id_type}, path string, score double")
+    return _rank(local.withColumn("score", F.round("score", 6)), k)
+
+
+def _local_top(k: int):
+    """Keeps a part's k best of each query, and all that tie with the last after rounding; queries come first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        ids: dict[int, list] = {}
+        rows: dict[int, list] = {}
+        units: dict[int, np.ndarray] = {}
         best: pd.DataFrame | None = None
         for b in batches:
-            if not len(b):
-                continue
-            x = np.stack([np.asarray(v, np.float64) for v in b["vec"]])
-            s = q @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)).T
-            keep = min(k, s.shape[1])
-            floor = np.partition(s, -keep, axis=1)[:, -keep] - 1e-6
-            i, j = np.nonzero(s >= floor[:, None])
-            now = pd.DataFrame({"query_id": ids[i], "path": b["path"].to_numpy()[j], "score": s[i, j]})
-            best = now if best is None else pd.concat([best, now])
-            if len(best) > 8 * k * len(ids):
-                best = _cut(best, k)
+            for side, part in b.groupby("side"):
+                width = part["vec"].map(len)
+                for dims, same in part.groupby(width):
+                    x = np.stack(same["vec"].to_numpy()).astype(np.float64) if dims else np.zeros((len(same), 0))
+                    x = x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+                    if side == 0:
+                        ids.setdefault(dims, []).extend(same["query_id"])
+                        rows.setdefault(dims, []).append(x)
+                        continue
+                    if dims not in rows:
+                        continue
+                    if dims not in units:
+                        units[dims] = np.concatenate(rows[dims])
+                    q, paths = np.array(ids[dims], object), same["path"].to_numpy()
+                    for at in range(0, len(x), 1024):
+                        s = units[dims] @ x[at : at + 1024].T
+                        keep = min(k, s.shape[1])
+                        floor = np.partition(s, -keep, axis=1)[:, -keep] - 1e-6
+                        i, j = np.nonzero(s >= floor[:, None])
+                        now = pd.DataFrame({"query_id": q[i], "path": paths[at + j], "score": s[i, j]})
+                        best = now if best is None else pd.concat([best, now])
+                        if len(best) > 8 * k * len(q):
+                            best = _cut(best, k)
         if best is not None:
             yield _cut(best, k)
 

@@ -167,7 +167,7 @@ def _questions(spark, d):
 
 
 def bm25_batch(spark, d):
-    return bm25.search(corpus(spark, d), _questions(spark, d), 10)
+    return bm25.search_many(corpus(spark, d), _questions(spark, d), 10)
 
 
 def knn_cosine(spark, d):
@@ -226,8 +226,8 @@ def _hybrid(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     chunks = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("domain"), F.col("text").alias("body"), F.lit("chunk").alias("kind"), F.lit(False).alias("stale"))
     v = _vectors(spark, d)
-    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(v.select(F.col("vec_id").alias("query_id"), "vec"), "query_id")
-    return search.search(chunks, v.select("path", "domain", "vec"), asked, "hybrid", top=10)
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(v.select(F.col("vec_id").alias("query_id"), "vec"), "query_id", "left")
+    return search.search(chunks, v.select("path", "domain", "vec"), asked, "hybrid", top=10, many=True)
 
 
 def hybrid_search(spark, d):
@@ -451,7 +451,7 @@ def answer_filing(spark, d):
 
 
 def retrieved_log(spark, d):
-    hits = bm25.search(corpus(spark, d), _questions(spark, d), 3)
+    hits = bm25.search_many(corpus(spark, d), _questions(spark, d), 3)
     return synthesis.retrieved_edges(hits, F.lit("2025-01-01 00:00:00"))
 
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (a local
-session, as in tests) a temporary one is made and set.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session on this machine
+(as in tests) gets a temporary one; on a cluster that is an error, as no folder is shared.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
             spark.sparkContext.setCheckpointDir(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,13 @@ MAGIC, VERSION, HEAD = 0x52414744, 1, 32
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, length, modified) of the files below ``path``, without hidden ones and those in store and git folders.
 
-    Spark's file source leaves out files without a byte; they would be chunks without text.
+    Spark's file source leaves out files without a byte; they are added from its own list of files.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = [(unquote(f),) for f in rows.inputFiles()]  # the list that the driver has made to plan the scan
+    same = lambda c: F.regexp_replace(c, r"^file:/*", "file:/")
+    empty = spark.createDataFrame(listed, "path string").withColumn("path", same("path")).join(rows.where(F.col("length") > 0).select(same("path").alias("path")), "path", "left_anti")
+    rows = rows.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     clean = F.regexp_replace("path", r"^file:/*", "/")
     below = F.substring(clean, len(path.rstrip("/")) + 1, 1_000_000)
     hidden = below.rlike(r"(^|/)\.[^/]*$") | below.rlike(r"(^|/)\.(quillgraph|git)/")

@@ -14,9 +14,9 @@ from ..functions import text as X
 
 #: File types by extension (fixed values).
 TYPES = {
-    "markdown": ("md", "markdown", "mdx", "rst"),
+    "markdown": ("md", "markdown"),
     "text": ("txt", "text", "log"),
-    "code": ("py", "js", "ts", "jsx", "tsx", "go", "rs", "java", "c", "cpp", "h", "hpp", "rb", "sh", "bash", "zsh", "php", "swift", "kt", "scala", "sql", "r", "lua"),
+    "code": ("py", "js", "ts", "go", "rs", "java", "c", "cpp", "h", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "r", "jl", "lua", "pl", "hpp", "ex", "exs", "clj", "hs", "ml"),
     "csv": ("csv", "tsv"),
     "json": ("json", "jsonl"),
     "pdf": ("pdf",),
@@ -24,12 +24,14 @@ TYPES = {
     "docx": ("docx",),
     "config": ("yaml", "yml", "toml", "ini", "cfg", "conf"),
 }
+#: More types than the fixed ones.
+MORE = {"markdown": ("mdx", "rst"), "code": ("jsx", "tsx", "sql")}
 
 
 def detect_type(path: Column | str) -> Column:
     """The file type that the extension tells; 'text' for an unknown one."""
     ext = F.lower(F.regexp_extract(X.col(path), r"\.([^./]+)$", 1))
-    entries = [F.lit(v) for name, exts in TYPES.items() for e in exts for v in (e, name)]
+    entries = [F.lit(v) for name, exts in (*TYPES.items(), *MORE.items()) for e in exts for v in (e, name)]
     return F.coalesce(F.try_element_at(F.create_map(*entries), ext), F.lit("text"))
 
 

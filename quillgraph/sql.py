@@ -166,10 +166,10 @@ SELECT path, round(score, 6) AS score, round(r, 6) AS reranker, row_number() OVE
 _HYBRID = f"""
 docs AS (SELECT doc_id::VARCHAR AS path, text AS body, 'chunk' AS kind, false AS stale, length(lower(text)) AS dl FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')),
 postings AS (SELECT term, path, count(*)::INTEGER AS tf FROM (SELECT path, unnest({_words("body")}) AS term FROM docs) GROUP BY ALL), {_VEC},
-asked AS (SELECT doc_id AS query_id, text AS query, vec, norm FROM documents JOIN u ON vec_id = doc_id WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+asked AS (SELECT doc_id AS query_id, text AS query, vec, norm FROM documents LEFT JOIN u ON vec_id = doc_id WHERE doc_id % 50 = 0 AND text IS NOT NULL),
 {_bm25("SELECT query_id, query FROM asked", 30)},
 near AS (SELECT a.query_id, p.path, round(list_dot_product(a.vec, p.vec) / (a.norm * p.norm), 6) AS score FROM asked a, u p
-  WHERE EXISTS (SELECT 1 FROM bm25 b WHERE b.query_id = a.query_id AND b.path = p.path) OR NOT EXISTS (SELECT 1 FROM bm25 b WHERE b.query_id = a.query_id)),
+  WHERE a.vec IS NOT NULL AND (EXISTS (SELECT 1 FROM bm25 b WHERE b.query_id = a.query_id AND b.path = p.path) OR NOT EXISTS (SELECT 1 FROM bm25 b WHERE b.query_id = a.query_id))),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INTEGER AS rank FROM near QUALIFY rank <= 30),
 every AS (SELECT query_id, path, rank, 0 AS list FROM bm25 UNION ALL SELECT query_id, path, rank, 1 FROM knn),
 fused AS (SELECT query_id, path, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM every GROUP BY ALL),

@@ -38,7 +38,8 @@ def test_http(store):
         assert call("/link", {"source": "a/01.txt", "target": "b"})[0] == 200
         assert [r["node"] for r in call("/neighbors/b")[1]] == ["a/01.txt"]
         assert [r["etype"] for r in call("/trace/a%2F01.txt")[1]] == ["chunked_from", "origin"]
-        assert call("/graph/")[1]["chunks"] == 1
+        assert call("/graph/")[1]["chunks"] == 1 and call("/graph?domain=x")[1]["chunks"] == 0 and call("/graph")[1]["edge_types"]["references"] == 1
+        assert [r["node"] for r in call("/neighbors?node=b")[1]] == ["a/01.txt"]
         assert call("/search", {})[0] == 422 and call("/search", {"query": "x", "mode": "none"})[0] == 422
         assert call("/nothing")[0] == 404 and call("/search", b"{")[0] == 400
     finally:
@@ -56,4 +57,6 @@ def test_tools(store):
     said = {x["id"]: x for x in map(json.loads, out.getvalue().splitlines())}
     assert len(said) == 6 and len(said[2]["result"]["tools"]) == 6
     assert said[3]["result"]["content"][0]["text"].startswith("a/01.txt (") and '"chunks": 1' in said[4]["result"]["content"][0]["text"]
+    renamed = server.answer(server.Api(store), {"id": 7, "method": "tools/call", "params": {"name": "my_search", "arguments": {"query": "fox", "mode": "keyword", "explain": True}}}, "my_")
+    assert "bm25: " in renamed["result"]["content"][0]["text"]
     assert said[5]["error"]["code"] == -32601 and said[6]["result"]["isError"]

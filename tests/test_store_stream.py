@@ -17,10 +17,11 @@ def test_store(spark, tmp_path):
     src = tmp_path / "src"
     put(src, {"guide.md": "# Foxes\nThe fox sleeps in a den.\n# Owls\nThe owl has a nest.", "app.py": "def fox():\n    return 1\n", "empty.txt": "", ".hidden": "x", ".git/config": "x", "data.json": '{"fox": {"age": 3}}'})
     s = Store(spark, str(tmp_path / "store"), embedder=HashEmbedder(16)).init()
-    assert s.add(str(src)) == {"files": 3, "chunks": 4, "skipped": 0}
-    assert s.add(str(src)) == {"files": 0, "chunks": 0, "skipped": 3}
+    assert s.add(str(src)) == {"files": 4, "chunks": 5, "skipped": 0}
+    assert s.add(str(src)) == {"files": 0, "chunks": 0, "skipped": 4}
     paths = {r.path: r for r in s.table("chunks").collect()}
-    assert set(paths) == {"guide/01.txt", "guide/02.txt", "app/01.txt", "data/01.txt"}
+    assert set(paths) == {"guide/01.txt", "guide/02.txt", "app/01.txt", "data/01.txt", "empty/01.txt"}
+    assert paths["empty/01.txt"].body == ""
     assert paths["guide/02.txt"].heading == "# Owls" and paths["data/01.txt"].body == "fox.age: 3" and paths["guide/01.txt"].total == 2
     assert s.search("fox", "keyword").orderBy("rank").first().path in ("app/01.txt", "data/01.txt", "guide/01.txt")
     assert s.search("owl nest", top=1).first().path == "guide/02.txt"
@@ -36,12 +37,78 @@ def test_store(spark, tmp_path):
     assert s.gc() == {"edges": 1, "ledger": 0} and s.table("edges").where("etype = 'references'").count() == 1
     (src / "app.py").unlink()
     assert s.gc()["ledger"] == 1
-    assert s.quality().first().documents == 3
+    assert s.quality().first().documents == 4 and s.quality("none").first().documents == 0
     s.set("search.top_k", "1")
     assert s.search("fox", "keyword").count() == 1
     s.reindex()
     s.vacuum()
-    assert s.table("chunks").count() == 3 and s.graph().first().chunks == 3
+    s.optimize()
+    s.vacuum()
+    assert s.table("chunks").count() == 4 and s.graph().first().chunks == 4 and s.search("fox", "keyword").count() == 1
+    assert s.graph().first().edge_types == {"chunked_from": 4, "references": 1}
+
+
+def test_sources_of_one_name_and_changes_in_proportion(spark, tmp_path):
+    src = tmp_path / "src"
+    put(src, {"a/readme.md": "alpha", "b/readme.md": "beta", "c/other.md": "gamma"})
+    s = Store(spark, str(tmp_path / "store"), embedder=HashEmbedder(16)).init()
+    bodies = lambda: {r.source.split("/")[-2] + ":" + r.body for r in s.table("chunks").collect()}
+    assert s.add(str(src))["files"] == 3 and bodies() == {"a:alpha", "b:beta", "c:gamma"}
+    names = {r.source.split("/")[-2]: r.path for r in s.table("chunks").collect()}
+    assert names["a"] == "readme/01.txt" and names["b"].startswith("readme-") and len(set(names.values())) == 3
+    before = s._manifest()["tables"]
+    put(src, {"b/readme.md": "beta two"})
+    assert s.add(str(src))["files"] == 1 and bodies() == {"a:alpha", "b:beta two", "c:gamma"}
+    put(src, {"0/readme.md": "delta"})  # a smaller path does not take a name that is held
+    assert s.add(str(src))["files"] == 1 and bodies() == {"a:alpha", "b:beta two", "c:gamma", "0:delta"}
+    assert {r.source.split("/")[-2]: r.path for r in s.table("chunks").where("body not like 'delta%'").collect()} == names
+    after = s._manifest()["tables"]
+    assert all(after[t][: len(before[t])] == before[t] for t in before)  # nothing was written anew
+    new = spark.read.parquet(*(f"{s.root}/{f}" for f in after["chunks"][len(before["chunks"]) :]))
+    assert new.count() == 2 and s.table("postings").where("term = 'beta'").count() == 1 and s.table("vectors").count() == 4
+    assert s.table("ledger").count() == 4 and s.search("two", "keyword").first().path == names["b"]
+
+
+def test_gc_keeps_what_cannot_be_asked(spark, tmp_path):
+    (tmp_path / "here").mkdir()
+    put(tmp_path / "here", {"x.txt": "x"})
+    s = Store(spark, str(tmp_path / "store")).init()
+    rows = [("nosuch://host/x/a.txt", b"one"), (f"{tmp_path}/here/x.txt", b"two"), (f"{tmp_path}/here/y.txt", b"three"), (f"file:{tmp_path}/away/z.txt", b"four")]
+    s.add_sources(spark.createDataFrame(rows, "path string, content binary"))
+    assert s.gc() == {"edges": 0, "ledger": 2}
+    assert {r.source_path.split("/")[-1] for r in s.table("ledger").collect()} == {"a.txt", "x.txt"}
+    assert s.gc(lambda paths: [not p.endswith("x.txt") for p in paths])["ledger"] == 1
+
+
+def test_settings_have_an_effect(spark, tmp_path):
+    said = []
+
+    def llm(system, user):
+        said.append(system)
+        return "the owl has a nest" if "passage" in system else "Said"
+
+    put(tmp_path / "src", {"fox.txt": "the fox sleeps in a den", "owl.txt": "the owl has a nest", "both.txt": "the fox and the owl"})
+    s = Store(spark, str(tmp_path / "store"), embedder=HashEmbedder(64), llm=llm).init()
+    s.set("edges.auto_relate", "true")
+    s.set("edges.relate_threshold", "0.2")
+    s.add(str(tmp_path / "src"))
+    assert s.table("edges").where("etype = 'related_to'").count() > 0
+    assert set(s.search("fox").first().explain) == {"bm25", "vector", "rrf"}
+    s.set("search.default_mode", "keyword")
+    assert set(s.search("fox").first().explain) == {"bm25"}
+    s.set("search.hyde", "true")
+    for _ in range(2):
+        assert s.search("where", "vector", top=1).first().path == "owl/01.txt"
+    assert s.table("hyde").count() == 1
+    s.set("search.rerank", "true")
+    assert "reranker" in s.search("fox", "hybrid").first().explain
+    s.set("edges.record_queries", "true")
+    s.set("synthesis.on_query", "on")
+    a = s.ask("fox den")
+    assert s.table("edges").where("etype = 'retrieved'").count() == len(a.sources)
+    node = s.table("chunks").where("kind = 'answer'").first()
+    assert s.table("vectors").where(f"path = '{node.path}'").count() == 1 and s.table("postings").where(f"path = '{node.path}'").count() > 0
+    assert s.ask("fox den", use_llm=False).answer is None
 
 
 def test_rules_relate_and_ask(spark, tmp_path):
