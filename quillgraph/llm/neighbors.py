@@ -4,10 +4,12 @@ Without a threshold, every vector is compared with all others, by matrix product
 in parts: the ten nearest of vectors without clusters are so distant that neither cells nor the
 codes' error bounds would leave out much without losing some. With a threshold, cells and codes do.
 
-Cells: a bounded sample of the vectors serves as cell centres, some 3 sqrt(n) of them; every vector
+Cells: a sample of the vectors serves as cell centres, some 3 sqrt(n) of them at every n; every vector
 goes to the cells whose centres are nearest, to so many that of pairs at the very threshold the share
-MEET has a cell in common, as measured on the sample. Cells that the sample shows to be large
-are split into blocks, and pairs of blocks become groups of their own, so that no group is unbounded.
+MEET has a cell in common, as measured on the sample. Beyond FLAT centres these are grouped around
+some of their own, and a vector looks only into the nearest groups; what that misses is in what is
+measured. Cells that the sample shows to be large are split into blocks, and pairs of blocks become
+groups of their own, so that no group is unbounded.
 
 Codes: in a cell, vectors are compared by randomly rotated one-bit codes. A code is the signs of the
 rotated unit vector; with the scalar <code, vector> it gives an unbiased estimate of the inner
@@ -28,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.vector import knn
 from ..scratch import Table
 
-#: Least cells of each vector; most cells (bounds the sample and what is broadcast); rows of a block.
-PROBES, MAX_CELLS, BLOCK = 6, 8192, 4096
+#: Least cells of each vector; most centres that are searched without groups; rows of a block.
+PROBES, FLAT, BLOCK = 6, 4096, 4096
 #: Share of the pairs at the threshold itself that are to share a cell.
 MEET = 0.97
 #: Parts of the search without a threshold, and the least and the most vectors of one.
@@ -55,25 +58,66 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cell_count(n: int) -> int:
     """Cells for n vectors; one, and so an exact comparison, for few."""
-    return 1 if n <= BLOCK // 2 else min(MAX_CELLS, 1 << round(math.log2(3 * math.sqrt(n))))
+    return 1 if n <= BLOCK // 2 else 1 << round(math.log2(3 * math.sqrt(n)))
+
+
+class Centres:
+    """Cell centres, grouped around some of them where they are many."""
+
+    def __init__(self, centres: np.ndarray, flat: int | None = None):
+        self.centres, self.groups = centres, None
+        if len(centres) > (FLAT if flat is None else flat):
+            heads = centres[: math.ceil(math.sqrt(len(centres)))]
+            of = np.concatenate([(centres[i : i + 4096] @ heads.T).argmax(1) for i in range(0, len(centres), 4096)])
+            self.heads, self.groups = heads, [np.nonzero(of == g)[0] for g in range(len(heads))]
+            self.looked = max(16, math.ceil(len(heads) / 8))  # groups that a vector looks into
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The cells of each vector, nearest first; -1 where the groups hold fewer."""
+        if self.groups is None:
+            s = x @ self.centres.T
+            near = np.argpartition(-s, min(probes, s.shape[1]) - 1, axis=1)[:, :probes]
+            return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        looked = min(self.looked, len(self.heads))
+        into = np.argpartition(-(x @ self.heads.T), looked - 1, axis=1)[:, :looked]
+        best_s, best = np.full((len(x), probes), -9, np.float32), np.full((len(x), probes), -1, np.int64)
+        for g in np.unique(into).tolist():
+            if not len(self.groups[g]):
+                continue
+            rows = np.nonzero((into == g).any(1))[0]
+            both_s = np.concatenate([best_s[rows], (x[rows] @ self.centres[self.groups[g]].T).astype(np.float32)], 1)
+            both = np.concatenate([best[rows], np.broadcast_to(self.groups[g], (len(rows), len(self.groups[g])))], 1)
+            top = np.argsort(-both_s, axis=1, kind="stable")[:, :probes]
+            best_s[rows], best[rows] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both, top, 1)
+        return best
 
 
-def probes_for(centres: np.ndarray, units: np.ndarray, floor: float, seed: int = 0) -> int:
+def probes_for(centres: np.ndarray | Centres, units: np.ndarray, floor: float, seed: int = 0) -> int:
     """Cells of each vector with which the share MEET of pairs at a cosine of ``floor`` share one.
 
     Measured on at most 1,024 of the units, each with a partner in a random direction.
     """
-    r, meet = np.random.default_rng(seed), []
+    of = centres if isinstance(centres, Centres) else Centres(centres)
+    count = len(of.centres)
+    r = np.random.default_rng(seed)
     floor = max(-1.0, min(1.0, floor))
-    for lo in range(0, min(len(units), 1024), 128):
-        x = units[lo : lo + 128].astype(np.float64)
-        off = r.standard_normal(x.shape)
-        off -= (off * x).sum(1, keepdims=True) * x
-        y = floor * x + math.sqrt(1 - floor**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
-        place = [np.argsort(np.argsort(-(v @ centres.T), axis=1), axis=1) for v in (x, y)]
-        meet.append(np.maximum(*place).min(1))  # the first cell that is near both
-    places = np.sort(np.concatenate(meet)) if meet else np.zeros(1, int)
-    return min(len(centres), max(PROBES, int(places[math.ceil(MEET * len(places)) - 1]) + 1))
+    x = units[:1024].astype(np.float64)
+    if not len(x):
+        return min(count, PROBES)
+    off = r.standard_normal(x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    y = floor * x + math.sqrt(1 - floor**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+    most = min(count, 64)
+    while True:
+        a, b = of.nearest(x.astype(np.float32), most), of.nearest(y.astype(np.float32), most)
+        meet = np.full(len(x), most)  # the first place by which both have a cell in common
+        for i in range(most):
+            same = (a == b[:, i : i + 1]) & (a >= 0)
+            meet = np.minimum(meet, np.where(same.any(1), np.maximum(same.argmax(1), i), most))
+        place = int(np.sort(meet)[math.ceil(MEET * len(meet)) - 1])
+        if place < most or most == count:
+            return min(count, max(PROBES, place + 1))
+        most = min(count, 2 * most)
 
 
 def _rotation(dims: int, seed: int) -> np.ndarray:
@@ -216,18 +260,21 @@ def _cells(reps: DataFrame, dims: int, k: int, floor: float, seed: int) -> DataF
     spark = reps.sparkSession
     n = reps.select("id").count()
     cells = cell_count(n)
-    sample = reps.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(2 * cells if cells > 1 else 0).toPandas()  # at most 2 MAX_CELLS rows
     rotation = _rotation(dims, seed)
     blocks = np.ones(cells, np.int64)
     if cells > 1:
+        # a sample by hash of some 2 cells = 6 sqrt(n) rows, for the centres and for what is measured with them
+        drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40))
+        sample = reps.withColumn("drawn", drawn).where(F.col("drawn") < int(min(1.0, 2.2 * cells / n) * (1 << 40))).toPandas().sort_values(["drawn", "id"])
         units = _unit(sample["vec"], dims)
-        centres, others = units[:cells], units[cells:]
+        cells = min(cells, max(1, len(units) // 2))
+        centres, others = Centres(units[:cells]), units[cells : 3 * cells]
         probes = probes_for(centres, others, floor, seed)
-        near = np.argpartition(-(others @ centres.T), probes - 1, axis=1)[:, :probes]
-        share = np.bincount(near.ravel(), minlength=cells) / max(1, len(others))
+        near = centres.nearest(others, probes).ravel()
+        share = np.bincount(near[near >= 0], minlength=cells) / max(1, len(others))
         blocks = np.maximum(1, np.ceil(share * n / BLOCK).astype(np.int64))
     else:
-        centres, probes = np.zeros((1, dims), np.float32), 1
+        centres, probes = Centres(np.zeros((1, dims), np.float32)), 1
         blocks[0] = max(1, math.ceil(n / BLOCK))
     shared = spark.sparkContext.broadcast((centres, rotation, blocks))
     width = dims + 4
@@ -243,12 +290,13 @@ def _cells(reps: DataFrame, dims: int, k: int, floor: float, seed: int) -> DataF
                 x, ids = x[fine], ids[fine]
                 if not len(ids):
                     continue
-                near = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes] if cells > 1 else np.zeros((len(x), 1), np.int64)
+                near = centres.nearest(x, probes) if cells > 1 else np.zeros((len(x), 1), np.int64)
                 scale = np.abs(x).max(1) / 127
                 raw = np.empty((len(x), width), np.uint8)
                 raw[:, :4] = scale.astype(np.float32)[:, None].view(np.uint8)
                 raw[:, 4:] = np.rint(x / scale[:, None]).astype(np.int8).view(np.uint8)
                 row, cell = np.repeat(np.arange(len(x)), probes), near.ravel()
+                row, cell = row[cell >= 0], cell[cell >= 0]
                 count = blocks[cell]
                 own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % count
                 row, cell, own, count = (np.repeat(v, count) for v in (row, cell, own, count))
@@ -384,3 +432,24 @@ def similar_pairs(vectors: DataFrame, dims: int, threshold: float, k: int = 10,
     n = nearest(vectors, dims, k, min_cosine=threshold, **kw)
     a, b = n.columns[:2]
     return n.select(F.least(a, b).alias("vec_id_a"), F.greatest(a, b).alias("vec_id_b")).distinct()
+
+
+def recall(found: DataFrame, vectors: DataFrame, dims: int, k: int = 10, *, every: int = 50, min_cosine: float | None = None, id: str = "vec_id", vec: str = "vec") -> DataFrame:
+    """(queries, wanted, hits), one row: of the k nearest of the vectors whose id is divisible by ``every``, by brute force, how many ``found`` has.
+
+    ``found``: (id, neighbor). With ``min_cosine`` only neighbours at or above it are wanted. Neighbours
+    that tie with the last one wanted count as well as it.
+    """
+    rows = vectors.where(usable(F.col(vec), dims) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
+    asked = rows.where(F.col("id") % every == 0)
+    true = knn(rows.select(F.col("id").cast("string").alias("path"), "vec"), asked.select(F.col("id").alias("query_id"), "vec"), k + 1).where(F.col("path") != F.col("query_id").cast("string"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    true = true.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    if min_cosine is not None:
+        true = true.where(F.col("score") >= min_cosine)
+    least = true.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.min("score").alias("least"))
+    got = found.select(F.col(id).alias("query_id"), F.col("neighbor")).join(least, "query_id").join(rows.select(F.col("id").alias("query_id"), F.col("vec").alias("a")), "query_id")
+    got = got.join(rows.select(F.col("id").alias("neighbor"), F.col("vec").alias("b")), "neighbor").where(cosine(F.col("a"), F.col("b")) >= F.col("least") - 2e-6)
+    per = least.join(got.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), "query_id", "left").select("wanted", F.least("wanted", F.coalesce("got", F.lit(0))).alias("hits"))
+    n = asked.agg(F.count(F.lit(1)).alias("queries"))
+    return n.join(F.broadcast(per.agg(F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))))  # one row each

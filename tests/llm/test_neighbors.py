@@ -44,6 +44,8 @@ def test_exact_on_few_vectors(spark):
 @pytest.mark.parametrize("block", [4096, 300])
 def test_recall_over_cells_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
+    if block == 300:
+        monkeypatch.setattr(N, "FLAT", 32)
     r = np.random.default_rng(3)
     base = unit(r.standard_normal((1500, 32)))
     x = np.concatenate([base, unit(base + 0.45 * unit(r.standard_normal((1500, 32)))), unit(base[:1] + 0.9 * unit(r.standard_normal((900, 32))))])
@@ -91,6 +93,27 @@ def test_all_are_searched_without_a_threshold(spark, monkeypatch):
         assert np.allclose(got["cosine"], s[got["vec_id"], got["neighbor"]], atol=1e-3)
 
 
+def test_grouped_centres():
+    r = np.random.default_rng(9)
+    heads = unit(r.standard_normal((30, 24)).astype(np.float32))
+    many = unit(np.repeat(heads, 40, 0) + 0.15 * r.standard_normal((1200, 24)).astype(np.float32))
+    r.shuffle(many)
+    flat, grouped = N.Centres(many[:600], 600), N.Centres(many[:600], 100)
+    assert flat.groups is None and sorted(np.concatenate(grouped.groups)) == list(range(600))
+    a, b = flat.nearest(many[600:], 8), grouped.nearest(many[600:], 8)
+    assert np.mean([len(set(x) & set(y)) for x, y in zip(a, b)]) > 7.5 and (a[:, 0] == b[:, 0]).mean() > 0.95
+    assert N.probes_for(grouped, many[600:], 0.9) >= N.probes_for(flat, many[600:], 0.9) >= N.PROBES
+
+
+def test_recall_counts(spark):
+    r = np.random.default_rng(4)
+    df = frame(spark, unit(r.standard_normal((200, 8))))
+    full = N.nearest(df, 8, 10)
+    assert tuple(N.recall(full, df, 8).first()) == (4, 40, 40)
+    assert N.recall(full.where("rank > 3"), df, 8).first().hits == 28
+    assert N.recall(full, df, 8, min_cosine=0.8).first().wanted < 40
+
+
 @pytest.mark.parametrize("floor", [0.8, 0.6])
 def test_pairs_at_the_threshold_share_a_cell(floor):
     r = np.random.default_rng(8)
