@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
-        elif not spark.sparkContext.master.startswith("local["):
+        elif not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
