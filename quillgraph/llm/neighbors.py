@@ -39,6 +39,8 @@ PROBES, FLAT, BLOCK = 6, 4096, 4096
 MEET = 0.97
 #: Parts of the search without a threshold, and the least and the most vectors of one.
 PARTS, PART, MOST = 12, 8192, 65536
+#: Cosines of 16-bit vectors that differ by less are taken again from the vectors themselves.
+TIE = 4e-5
 #: Width of the error bound in standard deviations; slack for 8-bit reranking.
 EPSILON, SLACK = 2.4, 0.02
 
@@ -394,8 +396,8 @@ def nearest(vectors: DataFrame, dims: int, k: int = 10, *, min_cosine: float | N
     Unusable vectors (null, another length, NaN, infinite, all zero) neither have nor are neighbours.
     Every vector is compared with all others. ``min_cosine``: only neighbours at or above it, which are
     searched in cells: of the pairs at or above it at least 95% are to be found. Cosines are
-    exact, or with ``exact`` False those of 16-bit vectors (with ``min_cosine`` of 8-bit vectors, within
-    0.01), which saves two joins with the vectors; ties go to the smaller id. Exact copies are each other's neighbours at
+    exact, or with ``exact`` False those of 16-bit vectors but where two of a vector's are within TIE (with
+    ``min_cosine`` those of 8-bit vectors, within 0.01), which saves two joins with the vectors; ties (to 7 digits) go to the smaller id. Exact copies are each other's neighbours at
     cosine 1, the smallest ids first. ``id`` must be unique; rows without one are left out; an empty table gives no rows; extra
     columns are not read.
     """
@@ -406,16 +408,23 @@ def nearest(vectors: DataFrame, dims: int, k: int = 10, *, min_cosine: float | N
     else:
         found = _cells(reps, dims, k, min_cosine, seed).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     found = Table(found.select("a", "b", "sim"), "candidates").df
+    kept = None
+    if not exact:
+        w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+        step = lambda other: F.coalesce(F.abs(F.col("sim") - other), F.lit(9.0)) < TIE
+        close = step(F.lag("sim").over(w)) | step(F.lead("sim").over(w)) if min_cosine is None else F.lit(False)
+        told = found.withColumn("close", close)
+        kept = told.where(~F.col("close")).select("a", "b", F.col("sim").cast("double").alias("cosine"))
+        found = told.where("close").drop("close")
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     there = rows.join(ends, "id", "left_semi")
     both = found.join(there.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(there.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    if exact:
-        rated = both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    else:
-        rated = found.select("a", "b", F.col("sim").cast("double").alias("cosine"))
+    rated = both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")) if exact or min_cosine is None else kept
+    if not exact and min_cosine is None:
+        rated = rated.unionByName(kept)
     if min_cosine is not None:
         rated = rated.where(F.col("cosine") >= min_cosine)
-    order = F.desc("cosine"), F.col("b")
+    order = F.desc(F.round("cosine", 7)), F.col("b")  # vectors of one direction tie
     if copies is None:
         return _best(rated, "a", k, *order).select(F.col("a").alias(id), F.col("b").alias("neighbor"), "cosine", "rank")
     # a vector with copies takes over the neighbours of the one that stood for all; at most k + 1 of a group can be anybody's nearest

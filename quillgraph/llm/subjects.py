@@ -180,7 +180,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
     """(doc_id, text, subjects): labelled documents with text, at most ``most`` of them, chosen by a hash of their id."""
     name = F.lower(F.trim("subject"))
     known = labels.where(name.isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", name.alias("subject"))
-    per = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(most)
+    per = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    n = per.count()
+    if n > most:  # a threshold of the hash instead of a sort of all; 1.1 times as many as wanted, of which the first count
+        drawn = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 40))
+        per = per.where(drawn < int(1.1 * most / n * (1 << 40))).orderBy(drawn, "doc_id").limit(most)
     # at most ``most`` rows of an id and some names
     return documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text").join(F.broadcast(per), "doc_id")
 
@@ -242,7 +246,7 @@ def train(sample: DataFrame, subjects: list[str], *, rounds: int = ROUNDS, later
 def score(documents: DataFrame, model: Model, *, threshold: float = SCORE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, subject, statements, topical): per document and subject the statements that deal with it, and all topical ones.
 
-    A statement deals with the subject it scores highest, if at least ``threshold``. Documents of
+    A statement deals with each subject that its own output scores at least ``threshold``; it may be several. Documents of
     null, empty or blank text, those without an id and those without a topical statement give no rows. Texts are scored
     whole; repeated rows come out repeatedly.
     """
@@ -262,12 +266,13 @@ def score(documents: DataFrame, model: Model, *, threshold: float = SCORE, id: s
             if not len(document):
                 continue
             z = _segments(outputs[words], offsets) + m.bias
-            best = z.argmax(1)
-            topical = z[np.arange(len(z)), best] >= np.log(threshold / (1 - threshold))
+            deals = z >= np.log(threshold / (1 - threshold))  # each output on its own
             counts = np.zeros((len(b), len(m.subjects)), np.int32)
-            np.add.at(counts, (document[topical], best[topical]), 1)
+            row, k = np.nonzero(deals)
+            np.add.at(counts, (document[row], k), 1)
+            topical = np.bincount(document[deals.any(1)], minlength=len(b)).astype(np.int32)
             d, k = np.nonzero(counts)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[d], "subject": subjects[k], "statements": counts[d, k], "topical": counts.sum(1)[d].astype("int32")})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[d], "subject": subjects[k], "statements": counts[d, k], "topical": topical[d]})
 
     rows = documents.where(F.col(text).rlike(r"\S") & F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, subject string, statements int, topical int")
