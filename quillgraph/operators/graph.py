@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..scratch import Table, release
 from .edges import EXPANSION, PROVENANCE
-from .hierarchy import hierarchy, sweep
+from .hierarchy import hierarchy, sweep, unique_ids
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -83,25 +83,32 @@ def components(pairs: DataFrame, min_size: int = 3) -> DataFrame:
 
     The component is named by its smallest path. Labels move along edges and then jump to the label
     of their label, so the rounds are logarithmic in the diameter for all but contrived graphs. Paths
-    are numbered by hash while the labels move; each round is a table in the shared folder.
+    are numbered by hashes that no two share while the labels move; each round is a table in the
+    shared folder. Pairs with a null end are left out.
     """
-    both = pairs.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    links = Table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links").df
-    label = Table(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("path"), "label"), "labels")
+    both = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").alias("node"), F.col("b").alias("parent"))
+    named, held = unique_ids(both)
+    links = Table(named.select("id", "pid").unionByName(named.select(F.col("pid").alias("id"), F.col("id").alias("pid"))).distinct(), "links")
+    label = Table(links.df.groupBy("id").agg(F.least(F.col("id"), F.min("pid")).alias("label")), "labels")
     while True:
         now = label.df
-        near = links.join(now.select(F.col("path").alias("b"), "label"), "b").groupBy(F.col("a").alias("path")).agg(F.min("label").alias("near"))
-        moved = now.join(near, "path", "left").select("path", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = now.select(F.col("path").alias("new"), F.col("label").alias("beyond"))
-        new = Table(moved.join(jump, "new", "left").select("path", F.least("new", F.coalesce("beyond", "new")).alias("label"), (F.least("new", F.coalesce("beyond", "new")) != F.col("label")).alias("changed")), "labels")
+        near = links.df.join(now.select(F.col("id").alias("pid"), "label"), "pid").groupBy("id").agg(F.min("label").alias("near"))
+        moved = now.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        jump = now.select(F.col("id").alias("new"), F.col("label").alias("beyond"))
+        least = F.least("new", F.coalesce("beyond", "new"))
+        new = Table(moved.join(jump, "new", "left").select("id", least.alias("label"), (least != F.col("label")).alias("changed")), "labels")
         changed = not new.df.where("changed").isEmpty()
         label.drop()
         release(pairs.sparkSession)
         label = new
         if not changed:
             break
-    sizes = label.df.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return label.df.join(sizes, "label").select(F.col("label").alias("component"), "path", "size")
+    names = named.select("id", F.col("node").alias("path")).unionByName(named.select(F.col("pid").alias("id"), F.col("parent").alias("path"))).distinct()
+    members = Table(label.df.join(names, "id").select("label", "path"), "members").df
+    for t in (held, links, label):
+        t.drop()
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("path").alias("component")).where(F.col("size") >= min_size)
+    return members.join(sizes, "label").select("component", "path", "size")
 
 
 def cluster_names(found: DataFrame) -> DataFrame:

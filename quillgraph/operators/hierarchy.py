@@ -49,7 +49,7 @@ def provenance_parents(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("source").alias("node")).agg(F.min_by("target", "seq").alias("parent"))
 
 
-def _ids(links: DataFrame) -> tuple[DataFrame, Table]:
+def unique_ids(links: DataFrame) -> tuple[DataFrame, Table]:
     """(id, pid, node, parent) in a table, with ids that no two names share."""
     for seed in range(3, 100):
         h = lambda c: F.xxhash64(F.lit(seed), F.col(c))
@@ -299,7 +299,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     parent are left out; of repeated nodes the smallest parent counts; no links give no rows.
     """
     links = links.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
-    named, held = _ids(links)
+    named, held = unique_ids(links)
     tables = [held]
 
     def keep(df: DataFrame, name: str) -> DataFrame:

@@ -79,8 +79,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """The files that hold the consolidated store."""
-    return compaction.compact(table(spark, d, "chunk_files")).manifest
+    """What the files of the consolidated store hold: records, bytes, and files beyond 128 MB."""
+    m = compaction.compact(table(spark, d, "chunk_files")).manifest
+    return m.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("content_bytes"), F.lit(0)).alias("content_bytes"), F.count_if(F.col("content_bytes") > 128 << 20).alias("oversized"))
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +191,17 @@ def relate_lsh(spark, d):
     return vector.relate_lsh(_vectors(spark, d), THRESHOLD, dims=64, bits=6).withColumn("similarity", F.round("similarity", 6))
 
 
+def relate_recall(spark, d):
+    """Whether the hyperplane buckets find at least 95% of the related pairs."""
+    v = Table(_vectors(spark, d), "vectors").df
+    all_ = Table(vector.relate_exact(v, THRESHOLD), "related").df
+    got = vector.relate_lsh(v, THRESHOLD, dims=64, bits=6).select("a", "b")
+    hits = all_.join(got, ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    return all_.agg(F.count(F.lit(1)).alias("wanted")).join(F.broadcast(hits)).select("wanted", (F.col("hits") >= 0.95 * F.col("wanted")).alias("reached"))  # one row each
+
+
 def related_edges(spark, d):
-    """New related_to edges of the stored chunk vectors of one model, by domain."""
+    """New related_to edges of the stored chunk vectors of the set length, by domain; of several vectors of a path the last counts."""
     c = config.read(spark, d)
     dims = int(c["embedding.dimensions"])
     v = table(spark, d, "chunk_vectors").where((F.size("vec") == dims) & ~F.isnan(F.array_max("vec")))

@@ -299,6 +299,44 @@ SELECT '_queries/_answer_' || substring(sha256(text), 1, 8) || '.txt' AS path, m
 SQL["config_effective"] = """
 SELECT trim(key) AS key, nullif(trim(arg_min(coalesce(value, '<none>'), ord)), '<none>') AS value FROM store_config WHERE key IS NOT NULL AND trim(key) <> '' AND NOT starts_with(trim(key), '#') GROUP BY 1"""
 
+# chunks of the sources, by a fold over the lines (or paragraphs) of each
+_BLANKS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+_STRIP = rf"'^{_BLANKS}+|{_BLANKS}+$', '', 'g'"
+_SOME = rf"'[^\s\p{{Z}}\x0b\x1c-\x1f\x85]'"
+_SIZE, _OVERLAP = 1000, 100
+
+
+def _fold(strategy: str, parts: str, joint: str, cuts: str, heading: str, fills: str) -> str:
+    """Each step takes one part x (null behind the last) into what is held: ``cuts`` before it, or after it where ``fills`` says so."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, path, coalesce(content, '') AS content, {parts} AS parts FROM (SELECT DISTINCT path, content FROM sources)),
+f AS (SELECT id, 0 AS i, NULL::VARCHAR AS held, 0::BIGINT AS n, '' AS heading, NULL::VARCHAR AS body, '' AS under FROM d
+UNION ALL SELECT id, i + 1,
+  CASE WHEN x IS NULL THEN NULL WHEN before THEN right(held, {_OVERLAP}) || {joint} || x WHEN after THEN right(more, {_OVERLAP}) ELSE more END,
+  CASE WHEN x IS NULL THEN 0 WHEN before THEN length(right(held, {_OVERLAP})) + length(x) WHEN after THEN length(right(more, {_OVERLAP})) ELSE n + length(x) + 1 END,
+  {heading}, CASE WHEN x IS NULL OR before THEN held WHEN after THEN more END, heading
+FROM (SELECT *, x IS NOT NULL AND NOT before AND {fills} AS after FROM (SELECT f.*, d.parts[i + 1] AS x, CASE WHEN held IS NULL THEN x ELSE held || {joint} || x END AS more, coalesce({cuts}, false) AS before
+  FROM f JOIN d USING (id) WHERE i <= len(d.parts)))),
+c AS (SELECT id, i, body, under AS heading FROM f WHERE regexp_matches(body, {_SOME}) UNION ALL SELECT id, 0, content, '' FROM d WHERE id NOT IN (SELECT id FROM f WHERE regexp_matches(body, {_SOME}))),
+chunks AS (SELECT path, '{strategy}' AS strategy, count(*) OVER (PARTITION BY id)::INTEGER AS total, row_number() OVER (PARTITION BY id ORDER BY i)::INTEGER AS position, body, heading, id, i FROM c JOIN d USING (id))"""
+
+
+_LINES = "string_split(coalesce(content, ''), chr(10))"
+_HEADINGS = ("chr(10)", "starts_with(x, '#') AND n > 0", f"CASE WHEN starts_with(x, '#') THEN regexp_replace(x, {_STRIP}) ELSE heading END", f"NOT starts_with(x, '#') AND n + length(x) + 1 >= {_SIZE}")
+_OPENS = rf"regexp_matches(x, '^{_BLANKS}*(def |class |function |const |let |var |export |pub fn |fn |func )') AND n > 0"
+_PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '\n{_BLANKS}*\n'), lambda p: regexp_replace(p, {_STRIP})), lambda p: p <> '')"
+_CHUNKS = " SELECT path, strategy, total, position, body, heading FROM chunks"
+SQL["chunk_heading"] = _fold("heading", _LINES, *_HEADINGS) + _CHUNKS
+SQL["chunk_function"] = _fold("function", _LINES, "chr(10)", _OPENS, "heading", f"n + length(x) + 1 >= {_SIZE}") + _CHUNKS
+SQL["chunk_paragraph"] = _fold("paragraph", _PARAGRAPHS, "chr(10) || chr(10)", f"length(held) + length(x) + 2 > {_SIZE}", "heading", "false") + _CHUNKS
+SQL["chunk_proposition"] = (
+    _fold("proposition", _LINES, *_HEADINGS)
+    + rf""",
+s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, {_STRIP}), '([.!?]){_BLANKS}+', '\1' || chr(1), 'g'), chr(1)), lambda p: regexp_replace(p, {_STRIP})), lambda p: length(p) > 10) AS parts FROM chunks),
+u AS (SELECT path, strategy, heading, id, i, unnest(range(greatest(len(parts), 1))) AS k, parts, body FROM s)
+SELECT path, strategy, count(*) OVER (PARTITION BY id)::INTEGER AS total, row_number() OVER (PARTITION BY id ORDER BY i, k)::INTEGER AS position, coalesce(parts[k + 1], body) AS body, heading FROM u"""
+)
+
 # the chunk a file was written for, and its body as it reads on a screen
 _FILES = r"""
 WITH n AS (SELECT file_id, content, regexp_replace(regexp_replace(regexp_replace(replace(trim(path), chr(92), '/'), '/+', '/', 'g'), '^(?:\./|/|(?:_staging|_?lost\+found|retry-\d+|\.trash|tmp)/)+', ''),
@@ -309,3 +347,15 @@ s AS (SELECT file_id, chunk, regexp_replace(regexp_replace(regexp_replace(regexp
 SQL["p4_found"] = _FILES + " SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY chunk, shown) AS first FROM s WHERE shown <> '') WHERE file_id > first"
 SQL["p4_records"] = _FILES + """
 SELECT r.file_id, r.chunk AS path, md5(f.content) AS content FROM (SELECT chunk, shown, min(file_id) AS file_id FROM s WHERE shown <> '' GROUP BY 1, 2) r JOIN chunk_files f USING (file_id)"""
+SQL["p4_manifest"] = _FILES + """
+SELECT count(*) AS records, sum(octet_length(encode(f.content)))::BIGINT AS content_bytes, 0::BIGINT AS oversized
+FROM (SELECT chunk, shown, min(file_id) AS file_id FROM s WHERE shown <> '' GROUP BY 1, 2) r JOIN chunk_files f USING (file_id)"""
+SQL["relate_recall"] = f"SELECT count(*) AS wanted, true AS reached FROM ({SQL['relate_exact']})"
+SQL["related_edges"] = f"""
+WITH {_EDGES}, cfg AS (SELECT trim(key) AS k, trim(arg_min(value, ord)) AS v FROM store_config WHERE key IS NOT NULL AND NOT starts_with(trim(key), '#') GROUP BY 1),
+v AS (SELECT path, coalesce(domain, '') AS domain, vec::DOUBLE[] AS vec FROM chunk_vectors WHERE len(vec) = (SELECT v::INT FROM cfg WHERE k = 'embedding.dimensions') AND len(list_filter(vec, lambda x: isnan(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) = 1),
+u AS (SELECT path, domain, vec, sqrt(list_dot_product(vec, vec)) + 1e-10 AS norm FROM v),
+p AS (SELECT a.path AS source, b.path AS target, list_dot_product(a.vec, b.vec) / (a.norm * b.norm) AS s FROM u a JOIN u b ON a.domain = b.domain AND a.path < b.path)
+SELECT source, target, 'related_to' AS etype, printf('similarity=%.4f', s) AS metadata FROM p WHERE s >= (SELECT v::DOUBLE FROM cfg WHERE k = 'edges.relate_threshold')
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.etype = 'related_to' AND least(e.source, e.target) = p.source AND greatest(e.source, e.target) = p.target)"""
