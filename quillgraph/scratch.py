@@ -7,9 +7,10 @@ The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a ses
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,26 +56,27 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written here is not computed again, so its shuffle files may go at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Table:
     """A written intermediate table: ``df`` reads it, ``drop`` deletes its files."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        with _cleaned(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
-
-
-_rounds = 0
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished rounds of an iteration; every third call does it."""
-    global _rounds
-    _rounds += 1
-    if _rounds % 3 == 0:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
