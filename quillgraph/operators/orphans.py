@@ -117,9 +117,9 @@ def store_records(chunks: DataFrame, sources: DataFrame, collections: DataFrame)
 
 def path_keys(rows: DataFrame) -> DataFrame:
     """``rows`` with the composite key of ``path``: ``folder``, null for a name without one, and ``name``."""
-    cut = F.locate("/", F.reverse("path"))
-    folder = F.when(cut > 0, F.expr("left(path, char_length(path) - locate('/', reverse(path)))"))
-    return rows.withColumns({"folder": folder, "name": F.when(cut > 0, F.expr("right(path, locate('/', reverse(path)) - 1)")).otherwise(F.col("path"))})
+    name = F.substring_index("path", "/", -1)
+    folder = F.char_length("path") - F.char_length(name)  # with the slash
+    return rows.withColumns({"folder": F.when(folder > 0, F.left("path", folder - 1)), "name": name})
 
 
 def edge_orphans(edges: DataFrame, chunks: DataFrame, sources: DataFrame, collections: DataFrame) -> DataFrame:
