@@ -183,7 +183,7 @@ def _sibling_offsets(tree: DataFrame) -> tuple[DataFrame, Table]:
     return summed.select("id", F.when(~F.col("top"), F.col("key")).alias("pid"), "size", F.col("before").alias("offset")), t
 
 
-def _descend(offsets: DataFrame, gained: DataFrame) -> tuple[DataFrame, list[Table]]:
+def _descend(offsets: DataFrame, gained: DataFrame, n: int) -> tuple[DataFrame, list[Table]]:
     """(id, pid, size, pre): preorder numbers, from 0, roots one after another."""
     inner = offsets.where((F.col("size") > 1) | F.col("pid").isNull())
     done = [Table(inner.where(F.col("pid").isNull()).select("id", "pid", "size", F.col("offset").alias("pre")), "numbered")]
@@ -214,7 +214,7 @@ def _descend(offsets: DataFrame, gained: DataFrame) -> tuple[DataFrame, list[Tab
     for t in done[1:]:
         known = known.unionByName(t.df)
     leaf = offsets.where((F.col("size") == 1) & F.col("pid").isNotNull())
-    hot = skew.hot_keys(gained.select(F.xxhash64(F.col("up")).alias("h"), "n"), skew.HOT_ROWS)
+    hot = _hot(gained, n)
     found = skew.spread_join(leaf, known.select(F.col("id").alias("pid"), F.col("pre").alias("of")), ["pid"], hot, row=["id"])
     return known.unionByName(found.select("id", "pid", "size", (F.col("of") + 1 + F.col("offset")).alias("pre"))), done
 
@@ -321,7 +321,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     done = None
     if n:
         offsets, table = _sibling_offsets(tree)
-        numbered, more = _descend(offsets, gained.df)
+        numbered, more = _descend(offsets, gained.df, n)
         tables += [table, *more]
         top_names = tops.select("id", F.col("node").alias("name"))
         marked = keep(numbered, "numbered")
