@@ -218,8 +218,9 @@ s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM o)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events, round(sum(value), 6) AS value FROM s GROUP BY user_id, n"""
 SQL["ledger_antijoin"] = """
 SELECT DISTINCT path, content_hash FROM sources s WHERE NOT EXISTS (SELECT 1 FROM sources r WHERE r.removed_at IS NOT NULL AND r.path = s.path AND r.content_hash = s.content_hash)"""
-SQL["vector_reuse"] = f"""WITH {_CORPUS}, h AS (SELECT path, substring(sha256(body), 1, 16) AS content_hash FROM docs)
-SELECT content_hash, path, first FROM (SELECT content_hash, path, min(path) OVER (PARTITION BY content_hash) AS first FROM h) WHERE path <> first"""
+SQL["vector_reuse"] = r"""
+WITH h AS (SELECT doc_id, substring(sha256(text), 1, 16) AS content_hash FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]'))
+SELECT doc_id::VARCHAR AS path, content_hash, content_hash IN (SELECT content_hash FROM h WHERE doc_id % 2 = 0) AS reused FROM h"""
 
 SQL["graph_summary"] = f"""WITH {_CORPUS}, {_EDGES}
 SELECT count(DISTINCT split_part(path, '/', 1)) AS domains, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS documents, count(DISTINCT path) AS chunks, (SELECT count(*) FROM e) AS edges
@@ -306,10 +307,10 @@ _SOME = rf"'[^\s\p{{Z}}\x0b\x1c-\x1f\x85]'"
 _SIZE, _OVERLAP = 1000, 100
 
 
-def _fold(strategy: str, parts: str, joint: str, cuts: str, heading: str, fills: str) -> str:
+def _fold(strategy: str, parts: str, joint: str, cuts: str, heading: str, fills: str, only: str = "true") -> str:
     """Each step takes one part x (null behind the last) into what is held: ``cuts`` before it, or after it where ``fills`` says so."""
     return f"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, path, coalesce(content, '') AS content, {parts} AS parts FROM (SELECT DISTINCT path, content FROM sources)),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, path, coalesce(content, '') AS content, {parts} AS parts FROM (SELECT DISTINCT path, content FROM sources WHERE {only})),
 f AS (SELECT id, 0 AS i, NULL::VARCHAR AS held, 0::BIGINT AS n, '' AS heading, NULL::VARCHAR AS body, '' AS under FROM d
 UNION ALL SELECT id, i + 1,
   CASE WHEN x IS NULL THEN NULL WHEN before THEN right(held, {_OVERLAP}) || {joint} || x WHEN after THEN right(more, {_OVERLAP}) ELSE more END,
@@ -329,6 +330,16 @@ _CHUNKS = " SELECT path, strategy, total, position, body, heading FROM chunks"
 SQL["chunk_heading"] = _fold("heading", _LINES, *_HEADINGS) + _CHUNKS
 SQL["chunk_function"] = _fold("function", _LINES, "chr(10)", _OPENS, "heading", f"n + length(x) + 1 >= {_SIZE}") + _CHUNKS
 SQL["chunk_paragraph"] = _fold("paragraph", _PARAGRAPHS, "chr(10) || chr(10)", f"length(held) + length(x) + 2 > {_SIZE}", "heading", "false") + _CHUNKS
+_EXT = r"regexp_extract(lower(path), '\.([^./]+)$', 1)"
+_CODE = f"{_EXT} IN ('py', 'js', 'ts', 'go', 'rs', 'sh')"
+SQL["chunk_selected"] = " UNION ALL ".join(
+    f"SELECT * FROM ({q + _CHUNKS})"
+    for q in (
+        _fold("heading", _LINES, *_HEADINGS, f"NOT {_CODE} AND {_EXT} <> 'txt'"),
+        _fold("function", _LINES, "chr(10)", _OPENS, "heading", f"n + length(x) + 1 >= {_SIZE}", _CODE),
+        _fold("paragraph", _PARAGRAPHS, "chr(10) || chr(10)", f"length(held) + length(x) + 2 > {_SIZE}", "heading", "false", f"{_EXT} = 'txt'"),
+    )
+)
 SQL["chunk_proposition"] = (
     _fold("proposition", _LINES, *_HEADINGS)
     + rf""",

@@ -181,3 +181,36 @@ def test_hyde_cache(spark):
     assert {r.query: r.expanded for r in first.collect()} == {"why": "because", "how": "how"} and new.count() == 1
     again, fresh = search.hyde(q, new, None)
     assert {r.query: r.expanded for r in again.collect()} == {"why": "because", "how": "how"} and fresh.count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_many_queries_score_as_single_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(bm25, "DOCUMENTS", 7 * block)
+    monkeypatch.setattr(bm25, "QUERIES", block)
+    monkeypatch.setattr(bm25.skew, "HOT_ROWS", 10)
+    words = ["fox", "owl", "den", "nest", "tree", "river", "stone"]
+    rows = [(f"d{i % 4}/{i:02d}.txt", " ".join(["all", *(words[(i * k) % 7] for k in range(1, 2 + i % 5))])) for i in range(60)] + [("x/1.txt", None), ("x/2.txt", " "), ("d0/_s.txt", "all fox fox")]
+    c = chunks(spark, rows)
+    q = spark.createDataFrame([(i, f"all {words[i % 7]} {words[i % 3]}") for i in range(10)] + [(98, None), (99, "zzz"), (97, "")], "query_id long, query string")
+    for kw in ({}, {"domain": "d1"}, {"domain": "d1", "stats_scope": "domain"}, {"boost": 1.5, "stale_penalty": 0.5}):
+        one = sorted((r.query_id, r.rank, r.path, r.score) for r in bm25.search(c, q, 5, **kw).collect())
+        many = sorted((r.query_id, r.rank, r.path, r.score) for r in bm25.search_many(c, q, 5, **kw).collect())
+        assert one == many and one
+    stored = bm25.search(None, q, 5, index=bm25.postings(c), stats=bm25.document_stats(c))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, bm25.search(c, q, 5).collect()))
+    assert bm25.search_many(c.limit(0), q, 5).count() == 0 and bm25.search_many(c, q.limit(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        bm25.search(None, q, 5)
+
+
+def test_knn_in_blocks(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((90, 5)).round(1)
+    v = spark.createDataFrame([(f"p{i:02d}", [float(a) for a in x[i]]) for i in range(90)] + [("null", None), ("short", [1.0])], "path string, vec array<float>")
+    q = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(25)] + [(90, None), (91, [2.0])], "query_id long, vec array<float>")
+    whole = sorted(map(tuple, vector.knn(v, q, 4).collect()))
+    assert whole == sorted(map(tuple, vector.knn(v, q, 4, block=7).collect())) and len(whole) == 101
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {i: sorted(((-round(float(u[i] @ u[j]), 6), f"p{j:02d}") for j in range(90)))[:4] for i in range(25)}
+    assert all([(-s, p) for q_, p, s, k in sorted(whole, key=lambda t: (t[0], t[3])) if q_ == i] == want[i] for i in range(25))
