@@ -109,9 +109,18 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(p8_found(spark, d), _table(spark, d, "documents"), _size())
 
 
+def p8_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled documents with text, and whether at least 85% of them come out with a subject that a reader gave them."""
+    names = subjects.subject_names(_table(spark, d, "subjects"))
+    said = _table(spark, d, "doc_labels").select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names)).distinct()
+    said = said.join(_table(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id"), "doc_id", "left_semi")
+    agreed = said.join(p8_found(spark, d), ["doc_id", "subject"], "left_semi").agg(F.count_distinct("doc_id").alias("agreed"))
+    return said.agg(F.count_distinct("doc_id").alias("documents")).join(F.broadcast(agreed)).select("documents", (F.col("agreed") >= 0.85 * F.col("documents")).alias("reached"))  # one row each
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_neighbors, p3_recall, p5_found, p5_pieces, p5_check, p6_found, p6_windows, p6_fill, p6_check, p7_found, p7_mix, p7_shares, p7_check, p8_found, p8_composition,
+        p3_found, p3_neighbors, p3_recall, p5_found, p5_pieces, p5_check, p6_found, p6_windows, p6_fill, p6_check, p7_found, p7_mix, p7_shares, p7_check, p8_found, p8_composition, p8_agreement,
     )
 }

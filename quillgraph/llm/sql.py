@@ -43,6 +43,9 @@ SELECT count(*) AS documents, sum(size)::BIGINT AS tokens, count(*) FILTER (size
     "p7_check": f"""
 WITH {_PLAN}
 SELECT source, weight / (SELECT sum(weight) FROM plan) * (SELECT sum(own) FROM plan) <= coalesce(max_repeats, 1) * own AS feasible, 0 AS over, true AS met FROM plan""",
+    "p8_agreement": """
+SELECT count(DISTINCT l.doc_id) AS documents, true AS reached FROM doc_labels l JOIN documents d USING (doc_id)
+WHERE lower(trim(l.subject)) IN (SELECT lower(trim(subject)) FROM subjects) AND regexp_matches(d.text, '\\S')""",
     "p7_found": f"""
 WITH {_PLAN}
 SELECT source FROM plan WHERE weight / (SELECT sum(weight) FROM plan) * (SELECT sum(own) FROM plan) > coalesce(max_repeats, 1) * own""",
