@@ -141,8 +141,8 @@ def search_many(
     if extra and (boost != 1 or stale_penalty != 1):
         impact = boosted(impact, boost, stale_penalty)
     rows = skew.spread_join(hits, df, ["term"], hot, row=["path"]).join(stats_in, "path").join(F.broadcast(whole)).select("term", "path", impact.alias("w"))
-    sizes = stats_in.agg(F.count(F.lit(1)).alias("d")).crossJoin(terms.agg(F.count_distinct("query_id").alias("q"))).first()  # two numbers
-    d_blocks, q_blocks = max(1, -(-sizes.d // DOCUMENTS)), max(1, -(-sizes.q // QUERIES))
+    d_blocks = max(1, -(-stats_in.count() // DOCUMENTS))
+    q_blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERIES))
     id_type = queries.schema["query_id"].dataType.simpleString()
     block = lambda c, n: F.pmod(F.xxhash64(F.lit(3), c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -274,7 +274,8 @@ class Store:
         if not (is_on(settings["search.hyde"]) and self.llm):
             return query
         asked = bm25.one_query(self.spark, query)
-        rows, new = search.hyde(asked, self.table("hyde"), lambda q: self.llm(search.HYDE, q))
+        llm, system = self.llm, search.HYDE
+        rows, new = search.hyde(asked, self.table("hyde"), lambda q: llm(system, q))
         new = new.persist()
         told = rows.first().expanded
         if not new.isEmpty():
