@@ -7,7 +7,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_the_rest_stands_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.md", "*.json"))
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".*", "llm", "__pycache__", "*.md", "*.json"))
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 70 and not any(n.startswith(('p3_', 'p5_', 'p8_')) for n in q); print('fine')"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ":".join(p for p in sys.path if "site-packages" in p or p.endswith("python"))})
     assert done.stdout.strip() == "fine", done.stderr
